@@ -1,9 +1,11 @@
 """The queries of the corpus operators and, where SQL can express them, their SQL."""
 
-from skein.llm import exact_dedup
+from skein.llm import exact_dedup, huffman, packing
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op5_token_file": huffman.op5_token_file,
+    "op6_packing": packing.op6_packing,
 }
 SQL = {
     "op3_exact_dedup": exact_dedup.SQL,
