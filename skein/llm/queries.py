@@ -1,8 +1,9 @@
 """The queries of the corpus operators and, where SQL can express them, their SQL."""
 
-from skein.llm import exact_dedup, huffman, packing
+from skein.llm import exact_dedup, huffman, jaccard_join, packing
 
 QUERIES = {
+    "op2_ngram_jaccard_join": jaccard_join.op2_ngram_jaccard_join,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op5_token_file": huffman.op5_token_file,
     "op6_packing": packing.op6_packing,
