@@ -1,12 +1,13 @@
 """The queries of the corpus operators and, where SQL can express them, their SQL."""
 
-from skein.llm import exact_dedup, huffman, jaccard_join, packing
+from skein.llm import exact_dedup, huffman, jaccard_join, packing, pieces
 
 QUERIES = {
     "op2_ngram_jaccard_join": jaccard_join.op2_ngram_jaccard_join,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op5_token_file": huffman.op5_token_file,
     "op6_packing": packing.op6_packing,
+    "op7_sentencepiece": pieces.op7_sentencepiece,
 }
 SQL = {
     "op3_exact_dedup": exact_dedup.SQL,
