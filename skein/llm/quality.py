@@ -1,7 +1,8 @@
 """Quality by co-training: a classifier of the text and one of the metadata teach each other, and together score all rows.
 
-Both are additive models (naive Bayes over binned features), because their parameters are counts: a round's pseudo-labels
-of all rows become a grouped sum of bounded size, never a collected set.
+Both are additive models over binned features whose parameters follow from sums (text: least squares, from the products of
+bin indicators; metadata: naive Bayes, from counts), so a round's pseudo-labels of all rows become a grouped sum of bounded
+size, never a collected set.
 
 1. Text features of every row (shares of kinds of characters, word lengths, repetition, lines) and metadata (source, lang,
    length) are computed once and stored, some dozens of numbers a row.
@@ -27,7 +28,10 @@ from pyspark.sql import types as T
 
 from skein.llm.common import NULL_ID, real_id, small_batches, stored, table, utf8_buffer, word_hashes
 
-LABELLED, ROUNDS, SURE, BINS = 20_000, 3, 0.97, 16
+LABELLED, ROUNDS, SURE = 20_000, 3, 0.97
+#: Quantiles at which bins begin; close to each other at the ends, where junk is.
+QUANTILES = [0.002, 0.005, 0.01, 0.02, 0.03, 0.05, 0.08, 0.12, 0.2, 0.3, 0.5, 0.7, 0.8, 0.88, 0.92, 0.95, 0.97, 0.98, 0.99, 0.995, 0.998]
+BINS = len(QUANTILES)
 #: Weight of a pseudo-labelled row against a labelled one; values of hashed metadata.
 PSEUDO, HASHED = 0.25, 1024
 #: Rows are kept from this probability of good quality on.
@@ -83,11 +87,12 @@ def _inputs(df: DataFrame, id_col: str, text_col: str) -> list:
 
 
 class Views:
-    """Counts of both views: (feature, value, class); scores are log-odds."""
+    """text: products of the bins' indicators, and in the last row their sums by label (-1, 1); meta: (feature, value, class)."""
 
     def __init__(self, edges: np.ndarray, metas: int):
         self.edges, self.n_text, self.metas = edges, len(edges), metas
-        self.text = np.zeros((len(edges), BINS + 1, 2))
+        self.width = self.n_text * (BINS + 1)
+        self.text = np.zeros((self.width + 1, self.width))
         self.meta = np.zeros((metas, HASHED, 2))
         self.calibration = [(1.0, 0.0), (1.0, 0.0)]
         self.base = 0.0
@@ -103,14 +108,22 @@ class Views:
         p = smooth / (whole + 10 * rate * counts.shape[1])
         return np.log(p[..., 1]) - np.log(p[..., 0])
 
+    def indicators(self, bins: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(bins), self.width))
+        out[np.arange(len(bins))[:, None], bins + np.arange(self.n_text) * (BINS + 1)] = 1
+        return out
+
+    def products(self, bins: np.ndarray, label: float) -> np.ndarray:
+        z = self.indicators(bins)
+        return np.vstack([z.T @ z, label * z.sum(axis=0)])
+
     def fit(self):
-        self.text_odds, self.meta_odds = self._odds(self.text), self._odds(self.meta)
-        n = self.text[0].sum(axis=0)
-        self.base = float(np.log((n[1] + 1) / (n[0] + 1)))
+        self.text_odds = np.linalg.solve(self.text[:-1] + np.eye(self.width), self.text[-1]).reshape(self.n_text, BINS + 1)
+        self.meta_odds = self._odds(self.meta)
 
     def scores(self, x: np.ndarray, m: np.ndarray) -> np.ndarray:
         b = self.bins(x)
-        text = sum((self.text_odds[k, b[:, k]] for k in range(self.n_text)), np.zeros(len(x))) + self.base
+        text = sum((self.text_odds[k, b[:, k]] for k in range(self.n_text)), np.zeros(len(x)))
         meta = sum((self.meta_odds[k, m[:, k] % HASHED] for k in range(self.metas)), np.zeros(len(x))) + self.base
         return np.stack([text, meta], axis=1)
 
@@ -154,11 +167,11 @@ def _pseudo(batches: Iterator[pa.RecordBatch], views: Views, labelled: np.ndarra
         bins = views.bins(x)
         for cls, sure in ((1, odds > limit), (0, odds < -limit)):
             to_text, to_meta = free & sure[:, 1], free & sure[:, 0]
-            for k in range(views.n_text):
-                text[k, :, cls] += np.bincount(bins[to_text, k], minlength=BINS + 1)
+            if to_text.any():
+                text += views.products(bins[to_text], 2.0 * cls - 1)
             for k in range(views.metas):
                 meta[k, :, cls] += np.bincount(m[to_meta, k] % HASHED, minlength=HASHED)
-    for view, counts in enumerate((text, meta)):
+    for view, counts in enumerate((text[:, :, None], meta)):
         f, v, c = np.nonzero(counts)
         yield pa.record_batch([pa.array(np.full(len(f), view), pa.int32()), pa.array(f, pa.int32()), pa.array(v, pa.int32()), pa.array(c, pa.int32()), pa.array(counts[f, v, c])], ["view", "f", "v", "c", "n"])
 
@@ -171,15 +184,14 @@ def train(features: DataFrame, labels: DataFrame) -> Views | None:
     if len(seen) < 10 or good.min() == good.max():
         return None
     x, m = np.array([r["x"] for r in seen]), np.array([r["m"] for r in seen], np.int64)
-    edges = np.quantile(x, np.arange(1, BINS + 1) / (BINS + 1), axis=0).T
+    edges = np.quantile(x, QUANTILES, axis=0).T
     ids = np.array([r["_id"] for r in seen], np.int64)
     held = np.arange(len(seen)) % 5 == 4
     views = Views(edges, m.shape[1])
     bins = views.bins(x)
     for cls in (0, 1):
         own = ~held & (good == cls)
-        for k in range(views.n_text):
-            views.text[k, :, cls] += np.bincount(bins[own, k], minlength=BINS + 1)
+        views.text += views.products(bins[own], 2.0 * cls - 1)
         for k in range(views.metas):
             views.meta[k, :, cls] += np.bincount(m[own, k] % HASHED, minlength=HASHED)
     known = views.text.copy(), views.meta.copy()
@@ -195,7 +207,10 @@ def train(features: DataFrame, labels: DataFrame) -> Views | None:
         sums = features.mapInArrow(lambda it: _pseudo(it, views, ids), "view int, f int, v int, c int, n double").groupBy("view", "f", "v", "c").agg(F.sum("n").alias("n")).collect()
         views.text, views.meta = known[0].copy(), known[1].copy()
         for r in sums:
-            (views.meta if r["view"] else views.text)[r["f"], r["v"], r["c"]] += PSEUDO * r["n"]
+            if r["view"]:
+                views.meta[r["f"], r["v"], r["c"]] += PSEUDO * r["n"]
+            else:
+                views.text[r["f"], r["v"]] += PSEUDO * r["n"]
         refit()
     return views
 
