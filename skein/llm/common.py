@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 NULL_ID = -(2**63)
 #: Rows and bytes of one Arrow batch handed to a Python worker.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+#: Bytes of text that are hashed at once.
+SLICE = 1 << 20
 
 _U = np.uint64
 _MUL = _U(0x9E3779B97F4A7C15)
@@ -34,6 +36,8 @@ def small_batches(spark: SparkSession) -> None:
     """Keeps what a Python worker holds at once to a few MB whatever the texts' lengths."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    # what a finished query has shuffled is of no use to the next
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", True)
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
@@ -52,6 +56,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of shared_dir() that nothing reads any more, by the file system that Spark uses."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def packed_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(_id, _text, _row): the whole row travels in one struct, so that no column name can clash."""
     return df.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
@@ -95,22 +106,18 @@ def _powers(n: int) -> np.ndarray:
     return _POW
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words [^\\x20\\x09-\\x0D]+ of all texts, in order, and the n+1 offsets of each text's words."""
-    n = len(offsets) - 1
-    if not len(data):
-        return np.empty(0, np.uint64), np.zeros(n + 1, np.int64)
+def _slice_hashes(data: np.ndarray, starts: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(places where words begin, their hashes); starts: places at which a text begins."""
     space = _SPACE[data]
-    first = np.zeros(len(data), bool)
-    starts_at = offsets[:-1][offsets[:-1] < len(data)]
-    first[starts_at] = True
-    before = np.empty(len(data), bool)
-    before[0] = True
-    before[1:] = space[:-1]
-    begin = np.flatnonzero(~space & (before | first))
+    edge = np.empty(len(data), bool)
+    edge[0] = True
+    edge[1:] = space[:-1]
+    edge[starts] = True
+    edge &= ~space
+    begin = np.flatnonzero(edge)
     if not len(begin):
-        return np.empty(0, np.uint64), np.zeros(n + 1, np.int64)
-    word_of = np.cumsum(np.bincount(begin, minlength=len(data)).astype(np.int32)) - 1
+        return begin, np.empty(0, np.uint64)
+    word_of = np.cumsum(edge, dtype=np.int32) - np.int32(1)
     keep = np.flatnonzero(~space)
     w = word_of[keep]
     place = keep - begin[w]
@@ -121,9 +128,37 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
         value = _TABLE[letters] * _powers(int(place.max()) + 1)[place]
         cut = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
         sums = np.add.reduceat(value, cut)
-        lengths = np.diff(np.concatenate([cut, [len(w)]])).astype(np.uint64)
-        hashed = mix64(sums + lengths * _MUL)
-    return hashed, np.searchsorted(begin, offsets).astype(np.int64)
+        lengths = np.diff(np.append(cut, len(w))).astype(np.uint64)
+        return begin, mix64(sums + lengths * _MUL)
+
+
+def placed_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the words [^\\x20\\x09-\\x0D]+ of all texts, in order, the n+1 offsets of each text's words, and where each word begins. Works through the bytes in slices, so that its arrays stay small whatever the texts' lengths."""
+    begins, hashes, a, n = [], [], 0, len(data)
+    while a < n:
+        b = min(a + SLICE, n)
+        while b < n:  # move to where no word is cut, by space or by the end of a text
+            ahead = _SPACE[data[b : b + 4096]]
+            stop = int(np.argmax(ahead)) if ahead.any() else len(ahead)
+            after = np.searchsorted(offsets, b)
+            end = int(offsets[after]) if after < len(offsets) else n
+            if end <= b + stop or ahead.any():
+                b = min(b + stop, end)
+                break
+            b += len(ahead)
+        starts = offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, b)]
+        begin, hashed = _slice_hashes(data[a:b], starts - a, lower)
+        begins.append(begin + a)
+        hashes.append(hashed)
+        a = b
+    if not begins:
+        return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64), np.empty(0, np.int64)
+    begin = np.concatenate(begins)
+    return np.concatenate(hashes), np.searchsorted(begin, offsets).astype(np.int64), begin
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    return placed_hashes(data, offsets, lower)[:2]
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

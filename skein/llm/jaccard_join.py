@@ -34,7 +34,7 @@ from skein.llm.common import NULL_ID, id_text, mix64, real_id, shingle_sets, sma
 from skein.llm.components import Forest, components
 
 #: Documents of a chunk in step 1 (by bytes of text), n-grams of an index block, parts beyond D+1.
-CHUNK_BYTES, POSTINGS, SPARE = 24 << 20, 2_000_000, 1
+CHUNK_BYTES, POSTINGS, SPARE = 12 << 20, 2_000_000, 1
 #: DivideSkip's weight of a probe against a merge step, and postings up to which a heap merges.
 MU, HEAP = 0.01, 4096
 _U = np.uint64
