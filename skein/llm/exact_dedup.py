@@ -75,7 +75,7 @@ def _combine(batches: Iterator[pa.RecordBatch], rows: bool) -> Iterator[pa.Recor
         texts = part["_text"].cast(pa.binary()).to_pylist()
         keep, members, counts = [], [], []
         for group in msd_groups(texts):
-            group.sort(key=lambda i: -ids[i])
+            group.sort(key=lambda i: ids[i], reverse=True)
             for k in range(0, len(group), MEMBERS):
                 piece = group[k : k + MEMBERS]
                 keep.append(piece[0])

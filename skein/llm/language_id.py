@@ -67,7 +67,8 @@ def _score(batches: Iterator[pa.RecordBatch], weight: np.ndarray) -> Iterator[pa
     for b in batches:
         feature, doc, words = text_features(b["_text"])
         n = np.bincount(doc, minlength=len(words)).astype(float)
-        ll = np.stack([np.bincount(doc, weights=weight[feature, k], minlength=len(words)) for k in range(weight.shape[1])], axis=1)
+        doc = doc.astype(np.int64)
+        ll = np.stack([np.bincount(doc, weights=weight[feature, k], minlength=len(words)).astype(float) for k in range(weight.shape[1])], axis=1)
         # as if only so many of n dependent features were seen
         ll *= (np.minimum(n, 4 * np.sqrt(n)) / np.maximum(n, 1))[:, None]
         flat = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1) * weight.shape[1], pa.int32()), pa.array(ll.reshape(-1)))

@@ -1,15 +1,19 @@
 """The queries of the corpus operators and, where SQL can express them, their SQL."""
 
-from skein.llm import exact_dedup, huffman, jaccard_join, language_id, packing, pieces, quality
+from skein.llm import chat, exact_dedup, html_text, huffman, jaccard_join, language_id, merkle, packing, pieces, quality
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
     "op2_ngram_jaccard_join": jaccard_join.op2_ngram_jaccard_join,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_html_text": html_text.op4_html_text,
     "op5_token_file": huffman.op5_token_file,
     "op6_packing": packing.op6_packing,
     "op7_sentencepiece": pieces.op7_sentencepiece,
     "op8_language_id": language_id.op8_language_id,
+    "op9_chat_format": chat.op9_chat_format,
+    "op10_merkle_prints": merkle.op10_merkle_prints,
+    "language_id_pages": language_id.language_id_pages,
 }
 SQL = {
     "op3_exact_dedup": exact_dedup.SQL,
