@@ -8,6 +8,7 @@ lower case. Every distinct piece is encoded by the library, once as long as the
 from __future__ import annotations
 
 import os
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import SparkSession
 from skein.llm.common import utf8_buffer
 
 #: Words and pieces that a worker remembers at most; beyond, it forgets them all and starts again.
-WORDS, PIECES = 500_000, 700_000
+WORDS, PIECES = 800_000, 600_000
 END_ID = 1
 
 _TAIL = b".,!?%&*#$|;:"
@@ -35,6 +36,11 @@ def shared_tokenizer(spark: SparkSession, path: str | None = None):
         return spark.sparkContext.broadcast(f.read())
 
 
+def _letters(text: str) -> bool:
+    """Letters only, also as the tokenizer's normalizers leave them (some letters fall into a letter and a mark)."""
+    return unicodedata.normalize("NFC", text).lower().isalpha()
+
+
 class _Numbered(dict):
     """Gives each new key the next number and remembers it as new."""
 
@@ -53,62 +59,78 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
+        vocabulary = self.tokenizer.get_vocab()
+        self.word_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.word_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self._forget()
 
     def _forget(self):
-        self.words, self.pieces = _Numbered(), {}
-        self.flat, self.size = np.empty(1 << 16, np.uint32), 0  # the ids of all words, one after another
+        self.words, self.pieces = _Numbered(), _Numbered()
+        self.first, self.second = np.empty(1 << 16, np.int32), np.empty(1 << 16, np.int32)  # the pieces of each word
+        self.flat, self.size = np.empty(1 << 16, np.uint32), 0  # the ids of all pieces, one after another
         self.at, self.count = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int32)
-
-    def _library(self, pieces: list[bytes]) -> list[list[int]]:
-        """The ids of each piece: pieces of letters go to the library in lines of many, others one by one."""
-        out: list[list[int] | None] = [None] * len(pieces)
-        text = [p.decode() for p in pieces]
-        plain = [i for i, t in enumerate(text) if t.isalpha()]
-        for k in range(0, len(plain), 1000):
-            part = plain[k : k + 1000]
-            got = self.tokenizer.encode(" ".join(text[i] for i in part), add_special_tokens=False)
-            word = got.word_ids
-            cuts = [j for j in range(len(word)) if j == 0 or word[j] != word[j - 1]] + [len(word)]
-            if len(cuts) == len(part) + 1:
-                ids = got.ids
-                for i, a, b in zip(part, cuts, cuts[1:], strict=False):
-                    out[i] = ids[a:b]
-        rest = [i for i, x in enumerate(out) if x is None]
-        if rest:
-            for i, got in zip(rest, self.tokenizer.encode_batch([text[i] for i in rest], add_special_tokens=False), strict=True):
-                out[i] = got.ids
-        return out
+        self.pieces[b""]
+        self._learn()
+
+    def _library(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, flat, and their counts. Pieces of letters go to the library in lines of many: each ends with its only id of a word end."""
+        parts, counts, line = [], [], []
+
+        def flush():
+            ids = np.array(self.tokenizer.encode(" ".join(line), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.word_end[ids]) + 1
+            if len(ends) == len(line):
+                parts.append(ids)
+                counts.extend(np.diff(ends, prepend=0).tolist())
+            else:
+                one_by_one(line)
+            line.clear()
+
+        def one_by_one(texts):
+            for got in self.tokenizer.encode_batch(texts, add_special_tokens=False):
+                parts.append(np.array(got.ids, np.uint32))
+                counts.append(len(got.ids))
+
+        for piece in pieces:
+            text = piece.decode()
+            if _letters(text):
+                line.append(text)
+                if len(line) == 1000:
+                    flush()
+            else:
+                if line:
+                    flush()
+                one_by_one([text])
+        if line:
+            flush()
+        return np.concatenate(parts) if parts else np.empty(0, np.uint32), np.array(counts, np.int32)
 
     def _learn(self):
         new, self.words.new = self.words.new, []
-        split, wanted, seen = [], [], set()
+        number, first, second = self.pieces.__getitem__, [], []
         for w in new:
             core = w.rstrip(_TAIL)
-            if core and core != w and core.decode().isalpha():
-                parts = (core.lower(), w[len(core) :])
+            if len(core) == len(w) or not core or not (core.isalpha() or _letters(core.decode())):
+                first.append(number(w if b"<|" in w else w.lower()))
+                second.append(0)
             else:
-                parts = (w.lower() if b"<|" not in w else w,)
-            split.append(parts)
-            for p in parts:
-                if p not in self.pieces and p not in seen:
-                    seen.add(p)
-                    wanted.append(p)
-        for p, ids in zip(wanted, self._library(wanted), strict=True):
-            self.pieces[p] = tuple(ids)
-        first, total = len(self.words) - len(new), []
-        while len(self.words) > len(self.at):
+                first.append(number(core.lower()))
+                second.append(number(w[len(core) :]))
+        n = len(self.words)
+        while n > len(self.first):
+            self.first, self.second = np.concatenate([self.first, self.first]), np.concatenate([self.second, self.second])
+        self.first[n - len(new) : n], self.second[n - len(new) : n] = first, second
+        wanted, self.pieces.new = self.pieces.new, []
+        ids, counts = self._library(wanted)
+        n = len(self.pieces)
+        while n > len(self.at):
             self.at, self.count = np.concatenate([self.at, self.at]), np.concatenate([self.count, self.count])
-        for k, parts in enumerate(split, first):
-            ids = self.pieces[parts[0]] if len(parts) == 1 else self.pieces[parts[0]] + self.pieces[parts[1]]
-            self.at[k], self.count[k] = self.size + len(total), len(ids)
-            total += ids
-        while self.size + len(total) > len(self.flat):
+        self.count[n - len(wanted) : n] = counts
+        self.at[n - len(wanted) : n] = self.size + np.cumsum(counts) - counts
+        while self.size + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, self.flat])
-        self.flat[self.size : self.size + len(total)] = total
-        self.size += len(total)
-        if len(self.pieces) > PIECES:
-            self.pieces = {}
+        self.flat[self.size : self.size + len(ids)] = ids
+        self.size += len(ids)
 
     def encode(self, texts: pa.Array, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, flat, and the n+1 offsets; each text's ids end with end_id."""
@@ -121,12 +143,13 @@ class Encoder:
         word = np.concatenate(parts) if parts else np.empty(0, np.int32)
         if self.words.new:
             self._learn()
-        n = self.count[word].astype(np.int64)
+        piece = np.stack([self.first[word], self.second[word]], axis=1).reshape(-1)
+        n = self.count[piece].astype(np.int64)
         ends = np.concatenate([[0], np.cumsum(n)])
-        place = np.arange(ends[-1]) + np.repeat(self.at[word] - ends[:-1], n)
+        place = np.arange(ends[-1]) + np.repeat(self.at[piece] - ends[:-1], n)
         ids = self.flat[place]
-        at = ends[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
-        if len(self.words) > WORDS:
+        at = ends[2 * np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
+        if len(self.words) > WORDS or len(self.pieces) > PIECES:
             self._forget()
         if end_id is None:
             return ids, at
