@@ -1,4 +1,16 @@
 """Where the modules of queries register theirs."""
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return put
