@@ -1,15 +1,15 @@
 """Token ids in a binary format: canonical length-limited Huffman codes in independent blocks with bit-offset checkpoints.
 
-Writing takes two passes. The first counts the ids of all documents, in one grouped sum with partial sums where the rows
-lie. From the counts package-merge gives code lengths of at most LIMIT bits. The second deals the texts out in ranges of
-ascending doc_id and writes blocks, each with its documents' ids and token counts, its bits, and the bit offset of every
-STEP-th token. The lengths and the tokens of each range (one number a range) make the manifest.
+Writing deals the texts out in ranges of ascending doc_id, tokenizes them there and stores plain blocks of ids in the
+shared folder. All ids are counted, in one grouped sum with partial sums where the rows lie, and from the counts
+package-merge gives code lengths of at most LIMIT bits. Each plain block then becomes a coded one, with its documents' ids
+and token counts, its bits, and the bit offset of every STEP-th token. The lengths and the tokens of each range (one number
+a range) make the manifest.
 
 Reading needs a block and the manifest only. One table lookup a token decodes it; the checkpoints let all stretches of a
 block be decoded side by side, one token of each at a time.
 
-Files are Parquet tables of blocks in the shared folder, so that any store that Spark can write holds them. The texts are
-tokenized twice rather than kept as ids, which would take half as much disk again.
+Files are Parquet tables of blocks in the shared folder, so that any store that Spark can write holds them.
 Defined results: null text counts as empty (the end id alone), null ids sort first, rows with equal ids are written each,
 other columns are not looked at, an empty table gives no block.
 """
@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import id_text, real_id, shared_dir, small_batches, table
+from skein.llm.common import id_text, real_id, removed, shared_dir, small_batches, table
 from skein.llm.tokens import encoder, shared_tokenizer
 
 #: Most bits of a code, tokens between checkpoints, and tokens after which a block ends (with the document).
@@ -117,27 +117,16 @@ def decode_block(bits: bytes, checkpoints: bytes, tokens: int, tables: tuple[int
     return out.T.reshape(-1)[:tokens]
 
 
-def _count(batches: Iterator[pa.RecordBatch], spec) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << 16, np.int64)
-    for b in batches:
-        ids, _ = encoder(spec).encode(b["_text"])
-        got = np.bincount(ids, minlength=len(total))
-        if len(got) > len(total):
-            total = np.concatenate([total, np.zeros(len(got) - len(total), np.int64)])
-        total += got
-    used = np.flatnonzero(total)
-    yield pa.record_batch([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
-
-
-def _write(batches: Iterator[pa.RecordBatch], spec, lengths: np.ndarray) -> Iterator[pa.RecordBatch]:
-    codes, part, block = canonical_codes(lengths), TaskContext.get().partitionId(), 0
+def _plain(batches: Iterator[pa.RecordBatch], spec) -> Iterator[pa.RecordBatch]:
+    """Blocks of ids, in 16 bits each where all fit."""
+    part, block = TaskContext.get().partitionId(), 0
     docs, counts, held, size = [], [], [], 0
 
     def close():
-        bits, checkpoints = encode_block(np.concatenate(held), lengths, codes)
-        row = [[part], [block], [docs], [counts], [size], [bits], [checkpoints]]
-        types = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary()]
-        return pa.record_batch([pa.array(v, t) for v, t in zip(row, types, strict=True)], ["part", "block", "doc_ids", "doc_tokens", "tokens", "bits", "checkpoints"])
+        ids = np.concatenate(held)
+        wide = ids.max(initial=0) >= 1 << 16
+        row = [[part], [block], [docs], [counts], [size], [ids.astype("<u4" if wide else "<u2").tobytes()], [bytes([4 if wide else 2])]]
+        return _block(row)
 
     for b in batches:
         ids, at = encoder(spec).encode(b["_text"])
@@ -156,6 +145,33 @@ def _write(batches: Iterator[pa.RecordBatch], spec, lengths: np.ndarray) -> Iter
         yield close()
 
 
+def _block(row: list) -> pa.RecordBatch:
+    types = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary()]
+    return pa.record_batch([pa.array(v, t) for v, t in zip(row, types, strict=True)], ["part", "block", "doc_ids", "doc_tokens", "tokens", "bits", "checkpoints"])
+
+
+def _ids_of(bits: bytes, mark: bytes) -> np.ndarray:
+    return np.frombuffer(bits, f"<u{mark[0]}")
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1 << 16, np.int64)
+    for b in batches:
+        for bits, mark in zip(b["bits"].to_pylist(), b["checkpoints"].to_pylist(), strict=True):
+            got = np.bincount(_ids_of(bits, mark), minlength=len(total))
+            total = np.concatenate([total, np.zeros(len(got) - len(total), np.int64)]) + got
+    used = np.flatnonzero(total)
+    yield pa.record_batch([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
+
+
+def _code(batches: Iterator[pa.RecordBatch], lengths: np.ndarray) -> Iterator[pa.RecordBatch]:
+    codes = canonical_codes(lengths)
+    for b in batches:
+        for row in b.to_pylist():
+            bits, checkpoints = encode_block(_ids_of(row["bits"], row["checkpoints"]), lengths, codes)
+            yield _block([[row["part"]], [row["block"]], [row["doc_ids"]], [row["doc_tokens"]], [row["tokens"]], [bits], [checkpoints]])
+
+
 def _read(batches: Iterator[pa.RecordBatch], lengths: np.ndarray) -> Iterator[pa.RecordBatch]:
     tables = decode_table(lengths)
     for b in batches:
@@ -176,14 +192,17 @@ def write(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
     spark = df.sparkSession
     small_batches(spark)
     spec, source = shared_tokenizer(spark, tokenizer), id_text(df, id_col, text_col)
+    ranged, plain = source.repartitionByRange("_id").sortWithinPartitions("_id"), shared_dir(spark, "ids")
+    ranged.mapInArrow(lambda it: _plain(it, spec), BLOCKS).write.option("compression", "zstd").parquet(plain)
+    stored_ids = spark.read.schema(BLOCKS).parquet(plain)
     # one row per id of the vocabulary reaches the driver
-    seen = source.mapInArrow(lambda it: _count(it, spec), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    seen = stored_ids.select("bits", "checkpoints").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max([r["id"] for r in seen], default=0) + 1, np.int64)
     for r in seen:
         counts[r["id"]] = r["n"]
     lengths = code_lengths(counts)
-    ranged = source.repartitionByRange("_id").sortWithinPartitions("_id")
-    ranged.mapInArrow(lambda it: _write(it, spec, lengths), BLOCKS).write.parquet(f"{path}/blocks")
+    stored_ids.mapInArrow(lambda it: _code(it, lengths), BLOCKS).write.parquet(f"{path}/blocks")
+    removed(spark, plain)
     # a number for each block's tokens, summed by range: one row per range reaches the driver
     sums = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").groupBy("part").agg(F.sum("tokens").alias("n")).collect()
     bases, total = [], 0
