@@ -42,4 +42,4 @@ def allowed(rules: DataFrame, user: str, action: str, path: str) -> bool:
     """Whether a rule lets the user act on a path."""
     if rules.isEmpty():
         return True
-    return not rules.filter((F.col("owner") == user) & (F.col("action") == action) & F.lit(path).rlike(F.col("pattern"))).isEmpty()
+    return not rules.filter((F.col("owner") == user) & (F.col("action") == action) & F.regexp_like(F.lit(path), F.col("pattern"))).isEmpty()
