@@ -9,8 +9,8 @@ doesn't grow with the text. Two kinds of model:
   the two pieces' text gives the two pieces. So a piece may follow another only if that holds, and for every position one
   piece at most can end there. The results are the sentencepiece library's own.
 
-Where no piece goes on across a place (before a space that follows a letter, at a character that is in no longer piece)
-all paths meet, so the text falls into segments, and a worker remembers the ids of segments in bounded memory.
+Where no piece goes on across a place (two characters that stand side by side in no piece, as a letter and a space) all
+paths meet, so the text falls into segments, and a worker remembers the ids of segments in bounded memory.
 Defined results: null text counts as empty (no ids); U+2581 in a text is a space to the model and comes back as one;
 characters without a piece become byte pieces; other columns are not looked at.
 """
@@ -59,7 +59,18 @@ class Model:
         inner = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         barrier = "" if "\n" in longer else "\n"
         self.segment = re.compile(b"[^\n]+|\n" if inner else b"\n| *[^ \n]+| +" if barrier else b" *[^ ]+| +")
-        self.pairs: dict[tuple[str, str], bool] = {}
+        # two characters that stand side by side in no piece: nothing goes on across that place
+        self.joined = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        # a tree of the pieces' characters; under "" a node has the number of the piece that ends there
+        self.tree: dict = {}
+        for p, i in self.ids.items():
+            node = self.tree
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = i
+        self.least = min(self.scores, default=0.0) - 10.0
+        self.pairs: dict[int, bool] = {}
+        self.made = [None] * len(self.names)
         self.known: dict[bytes, int] = {}
         self._forget()
         raw = [bytes([b]) for b in range(256)]
@@ -68,6 +79,7 @@ class Model:
         self.piece_bytes = np.frombuffer(b"".join(text), np.uint8)
 
     def _forget(self):
+        self.parts: dict[str, list[int]] = {}
         self.known, self.flat, self.size = {}, np.empty(1 << 16, np.int32), 0
         self.at, self.count = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int32)
 
@@ -85,43 +97,63 @@ class Model:
             parts[where : where + 2] = [parts[where] + parts[where + 1]]
         return parts
 
-    def follows(self, a: str, b: str) -> bool:
-        """Whether b may stand after a (with a empty: whether b is ever made)."""
-        key = (a, b)
-        if (ok := self.pairs.get(key)) is None:
-            if len(self.pairs) > PAIRS:
-                self.pairs.clear()
-            ok = self.pairs[key] = self.merges(a + b) == ([a, b] if a else [b])
+    def name(self, number: int) -> str:
+        """A piece's text; numbers under 0 are characters without a piece."""
+        return self.names[number] if number >= 0 else chr(-1 - number)
+
+    def _possible(self, before: int | None, number: int) -> bool:
+        """Whether the piece is ever made and may stand after the one before (None: nothing)."""
+        if number >= 0:
+            ok = self.made[number]
+            if ok is None:
+                ok = self.made[number] = self.merges(self.names[number]) == [self.names[number]]
+            if not ok:
+                return False
+        if before is None:
+            return True
+        if len(self.pairs) > PAIRS:
+            self.pairs.clear()
+        a, b = self.name(before), self.name(number)
+        ok = self.pairs[before << 24 | number + 0x200000] = self.merges(a + b) == [a, b]
         return ok
 
-    def viterbi(self, text: str | Iterator[str]) -> Iterator[str]:
-        """The pieces of a text (or of its characters as they come), each as soon as it is final."""
-        bpe, ids, scores, width = self.kind == "bpe", self.ids, self.scores, self.window
-        best: dict[int, tuple[float, int, str]] = {0: (0.0, -1, "")}  # by position: score, where its piece begins, piece
-        recent, done, i = "", 0, 0
+    def viterbi(self, text: str | Iterator[str]) -> Iterator[int]:
+        """The numbers of a text's pieces (or of its characters' as they come), each as soon as it is final; a character without a piece is -1 less its code point."""
+        bpe, scores, width, tree, known = self.kind == "bpe", self.scores, self.window, self.tree, self.pairs.get
+        best: dict[int, tuple] = {0: (0.0, -1, None)}  # by position: score, where its piece begins, the piece
+        active: list[tuple[int, dict]] = []  # starts of pieces that may go on, the longest first
+        done, i = 0, 0
         for c in text:
+            if i in best:
+                active.append((i, tree))
             i += 1
-            recent = (recent + c)[-width:]
-            found = None
-            for n in range(1, min(width, i, len(recent)) + 1):
-                at = best.get(i - n)
-                if at is None:
-                    continue
-                piece = recent[-n:]
-                number = ids.get(piece)
-                if number is None and n > 1:
+            found, going = None, []
+            for start, node in active:
+                node = node.get(c)
+                if node is not None:
+                    going.append((start, node))
+                    number = node.get("")
+                    if number is None and start < i - 1:
+                        continue
+                elif start < i - 1:
                     continue
+                else:
+                    number = None
+                if number is None:
+                    number = -1 - ord(c)
+                at = best[start]
                 if bpe:
-                    if (n == 1 or self.follows("", piece)) and (i == n or self.follows(at[2], piece)):
-                        found = (0.0, i - n, piece)
-                        break
+                    if found is None:
+                        ok = known(at[2] << 24 | number + 0x200000) if at[2] is not None else None
+                        if ok or ok is None and self._possible(at[2], number):
+                            found = (0.0, start, number)
                 else:
-                    score = at[0] + (scores[number] if number is not None else min(scores) - 10.0)
+                    score = at[0] + (scores[number] if number >= 0 else self.least)
                     if found is None or score > found[0]:
-                        found = (score, i - n, piece)
-            if found:
+                        found = (score, start, number)
+            active = going
+            if found is not None:
                 best[i] = found
-            best.pop(i - width - 1, None) if i - width - 1 < done else None
             if i - done >= 2 * width:  # do the paths from all live positions meet?
                 live = [p for p in range(i - width + 1, i + 1) if p in best]
                 while len(live) > 1:
@@ -135,24 +167,34 @@ class Model:
             yield from self._back(best, i, done)
 
     @staticmethod
-    def _back(best, end: int, begin: int) -> list[str]:
+    def _back(best, end: int, begin: int) -> list[int]:
         out = []
         while end > begin:
-            _, at, piece = best[end]
-            out.append(piece)
+            _, at, number = best[end]
+            out.append(number)
             end = at
         return out[::-1]
 
     def numbers(self, text: str) -> list[int]:
         out: list[int] = []
-        for piece in self.viterbi(text):
-            i = self.ids.get(piece)
-            out += [i] if i is not None else [self.bytes[b] for b in piece.encode()]
+        for number in self.viterbi(text):
+            if number >= 0:
+                out.append(number)
+            else:
+                out += [self.bytes[b] for b in chr(-1 - number).encode()]
         return out
 
     def _number(self, segment: bytes) -> int:
         k = self.known[segment] = len(self.known)
-        ids = self.numbers(segment.decode().replace(" ", SPACE))
+        text = segment.decode().replace(" ", SPACE)
+        joined, parts, at = self.joined, self.parts, 0
+        ids: list[int] = []
+        for end in [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in joined] + [len(text)]:
+            part = text[at:end]
+            if (got := parts.get(part)) is None:
+                got = parts[part] = self.numbers(part)
+            ids += got
+            at = end
         if k >= len(self.at):
             self.at, self.count = np.concatenate([self.at, self.at]), np.concatenate([self.count, self.count])
         while self.size + len(ids) > len(self.flat):
@@ -180,7 +222,7 @@ class Model:
         ends = np.concatenate([[0], np.cumsum(n)])
         ids = self.flat[np.arange(ends[-1]) + np.repeat(self.at[segment] - ends[:-1], n)]
         at = ends[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
-        if len(self.known) > SEGMENTS:
+        if len(self.known) > SEGMENTS or len(self.parts) > SEGMENTS:
             self._forget()
         return ids, at
 

@@ -32,7 +32,7 @@ def test_unigram_is_the_best_path_and_streams(text, seed):
     rng = np.random.default_rng(seed)
     names = list({"".join(rng.choice(list("abcd"), size=rng.integers(1, 5))) for _ in range(12)} | set("abcd"))
     model = pieces.Model({"kind": "unigram", "pieces": names, "scores": rng.uniform(-9, -1, len(names)).tolist(), "bytes": {}, "plain": [True] * len(names)})
-    got = list(model.viterbi(iter(text)))
+    got = [model.name(i) for i in model.viterbi(iter(text))]
     best = [0.0] + [-1e18] * len(text)
     for i in range(1, len(text) + 1):
         for p, s in zip(names, model.scores, strict=True):
