@@ -1,6 +1,6 @@
 """The queries of the corpus operators and, where SQL can express them, their SQL."""
 
-from skein.llm import chat, exact_dedup, html_text, huffman, jaccard_join, language_id, merkle, packing, pieces, quality
+from skein.llm import chat, exact_dedup, html_text, huffman, jaccard_join, language_id, merkle, oracle, packing, pieces, quality
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
@@ -16,5 +16,7 @@ QUERIES = {
     "language_id_pages": language_id.language_id_pages,
 }
 SQL = {
+    "op2_ngram_jaccard_join": oracle.JACCARD,
     "op3_exact_dedup": exact_dedup.SQL,
+    "op9_chat_format": oracle.CHAT,
 }
