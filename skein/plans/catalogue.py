@@ -379,3 +379,31 @@ def virtual_cols(spark, sf_dir):
 def volatile_union(spark, sf_dir):
     extra = t(spark, sf_dir, "supplier").select((-F.col("s_suppkey") - 1).alias("c_custkey"), F.col("s_name").alias("c_name"))
     return t(spark, sf_dir, "customer").select("c_custkey", "c_name").unionByName(extra)
+
+
+@query("tree_column", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) >= 50")
+def tree_column(spark, sf_dir):
+    tree = t(spark, sf_dir, "events").select("event_id", F.try_parse_json("props").alias("tree"))
+    return tree.select("event_id", F.try_variant_get("tree", "$.k", "bigint").alias("k")).filter("k >= 50")
+
+
+@query("signed_rows", "SELECT c_custkey FROM customer WHERE c_custkey % 5 <> 0")
+def signed_rows(spark, sf_dir):
+    """Rows whose signature over their columns holds; every fifth was changed after it was signed."""
+    key = b"secret"
+    rows = t(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    sign = lambda: S.signature({c: F.col(c) for c in ("c_custkey", "c_name", "c_mktsegment")}, key)
+    kept = rows.withColumn("owning", sign()).withColumn("c_name", F.when(F.col("c_custkey") % 5 == 0, F.concat("c_name", F.lit("!"))).otherwise(F.col("c_name")))
+    return kept.filter(sign() == F.col("owning")).select("c_custkey")
+
+
+@query("rows_as_json", "SELECT count(*) AS n FROM nation")
+def rows_as_json(spark, sf_dir):
+    return t(spark, sf_dir, "nation").select(F.to_json(F.struct("*")).alias("row")).filter("row is not null").agg(F.count("*").alias("n"))
+
+
+@query("import_totals", "SELECT count(*) AS files, sum(strlen(n_name))::BIGINT AS bytes FROM nation")
+def import_totals(spark, sf_dir):
+    from skein.sources.tree import totals
+
+    return totals(t(spark, sf_dir, "nation").select(F.lit("file").alias("type"), F.col("n_name").cast("binary").alias("content")))

@@ -94,3 +94,36 @@ def test_patterns():
     for pattern, path, want in cases:
         assert bool(re.search(S.path_regex(pattern), path)) == want, pattern
     assert S.literal_prefix("/a/b/*/c") == "/a/b" and S.literal_prefix("*") == ""
+
+
+def test_shell_paths():
+    from skein.shell import resolve, rewrite
+
+    assert resolve("/a/b", "../c/./d") == "/a/c/d" and resolve("/a", "/x//y/..") == "/x" and resolve("/", "..") == "/"
+    assert rewrite("/a", "CP x /y") == "CP /a/x /y" and rewrite("/a", "LS") == "LS /a" and rewrite("/a", "READ * WHERE x=1") == "READ * WHERE x=1" and rewrite("/a", "CAT[2:5] f") == "CAT[2:5] /a/f"
+
+
+def test_signature_is_a_keyed_digest(spark):
+    import hashlib
+    import hmac
+
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("x", "y"), (None, "z")], "b string, a string")
+    for key in (b"k", b"long" * 40):
+        got = [r[0] for r in df.select(S.signature({"b": F.col("b"), "a": F.col("a")}, key)).collect()]
+        assert got == [hmac.new(key, text, hashlib.sha256).hexdigest() for text in (b"a=y;b=x;", b"a=z;b=;")]
+
+
+def test_encryption_and_byte_edits(spark):
+    from pyspark.sql import functions as F
+
+    key, wrong = b"0123456789abcdef", b"fedcba9876543210"
+    row = spark.createDataFrame([("0123456789",)], "c string").select(
+        S.decrypt(S.encrypt(F.col("c"), key), [wrong, key]).alias("ok"), S.decrypt(S.encrypt(F.col("c"), key), [wrong]).alias("no"),
+        *[S.byte_slice(F.col("c"), a, b).alias(f"s{k}") for k, (a, b) in enumerate([(2, 5), (5, None), (None, 5), (12, None), (0, 0)])],
+        S.overwrite_at(F.col("c"), F.lit("ab"), 12).alias("gap"), S.insert_at(F.col("c"), F.lit("ab"), 12).alias("late"),
+    ).first()
+    assert bytes(row.ok) == b"0123456789" and row.no is None
+    assert [bytes(row[f"s{k}"]) for k in range(5)] == [b"234", b"56789", b"01234", b"", b"0123456789"]
+    assert bytes(row.gap) == bytes(row.late) == b"0123456789\0\0ab"
