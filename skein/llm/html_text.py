@@ -76,7 +76,7 @@ def _hint(tag: str, more: str) -> int:
                     parts = set(re.split(r"[-_]+|(?<=[a-z])(?=[A-Z])", one))
                     if parts & BAD_NAMES and (not parts & MAIN_NAMES or parts & {"comment", "comments", "ad", "ads", "sidebar", "footer", "nav", "menu"}):
                         bad = True
-                    elif parts & {"article", "articlebody"} or one in ("post", "entry", "story", "post-content", "entry-content", "main-content"):
+                    elif parts & {"article", "articlebody"} or one in ("post", "entry", "story", "content", "main", "post-content", "entry-content", "main-content"):
                         main = True
             elif name == "hidden" or value == "true":
                 bad = True
