@@ -191,7 +191,7 @@ def ls(spark, sf_dir):
 @query("hidden_perms", "SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F'")
 def hidden_perms(spark, sf_dir):
     df = t(spark, sf_dir, "orders").withColumn("_path", F.concat(F.when(F.col("o_orderstatus") == "F", "/perms/read/").otherwise("/data/"), F.col("o_orderkey").cast("string")))
-    return pipeline.query(df, "READ o_orderkey WHERE o_orderkey>0", "o_orderkey")
+    return pipeline.query(df, "READ o_orderkey WHERE o_orderkey>=0", "o_orderkey")
 
 
 @query("cat_range", "SELECT doc_id, substr(lang || ':' || source, 2, 4) AS part FROM documents WHERE n_chars > 1000")
