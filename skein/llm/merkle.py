@@ -9,9 +9,9 @@ A fingerprint is `root;section:leaves;section:leaves...`, so two fingerprints al
 and how alike the texts are: twice the shared leaves over all leaves (1 if the roots are equal). Its length follows the
 text's (about an eighth).
 
-Neighbours: documents are dealt out in ranges of doc_id and read in order with one row of look-ahead; the last row of a
-range meets the first of the next by a join of the ranges' edges. Defined results: null text counts as empty, null ids sort
-first, rows with equal id are neighbours in order of their texts, a single row is its own next, other columns are not
+Neighbours: documents are dealt out in ranges of doc_id, in one shuffle, and read in order with one row of look-ahead; with
+each range comes one more row, the first text of the next range. Defined results: null text counts as empty, null ids sort
+first, rows with equal id are neighbours in order of their texts (in bytes), a single row is its own next, other columns are not
 looked at, an empty table gives an empty result.
 """
 
@@ -24,11 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import id_text, mix64, placed_hashes, real_id, small_batches, stored, table, utf8_buffer
+from skein.llm.common import id_text, mix64, placed_hashes, real_id, small_batches, table, utf8_buffer
 
 #: One word of so many ends a leaf, one paragraph of so many ends a section; most words of a leaf.
 LEAF, SECTION, LONGEST = 4, 4, 64
@@ -115,10 +114,11 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-OUT = "part int, kind int, _id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, _text string"
+OUT = "_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _NAMES = [c.split()[0] for c in OUT.split(", ")]
-_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string()]
-WHOLE, FIRST, LAST = 0, 1, 2
+_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+#: Ranges for each shuffle partition.
+RANGES = 4
 
 
 def compare(rows: list[tuple[int, str, str]]) -> list[tuple]:
@@ -134,49 +134,46 @@ def compare(rows: list[tuple[int, str, str]]) -> list[tuple]:
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, last = TaskContext.get().partitionId(), None
+    """Rows come by range, ids and texts; the one with following set is the next range's first."""
+    last, pairs = None, []
 
-    def batch(rows):
+    def done():
+        rows = compare(pairs)
+        pairs.clear()
         return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], _NAMES)
 
-    none = (None,) * 6
     for b in batches:
-        rows = list(zip(b["_id"].to_pylist(), b["_text"].to_pylist(), strict=True))
-        if not rows:
-            continue
-        if last is None:
-            yield batch([(part, FIRST, rows[0][0], *none, rows[0][1])])
-        else:
-            rows.insert(0, last)
-        for k in range(0, len(rows) - 1, 200):
-            done = compare([(rows[i][0], rows[i][1], rows[i + 1][1]) for i in range(k, min(k + 200, len(rows) - 1))])
-            yield batch([(part, WHOLE, *r, None) for r in done])
-        last = rows[-1]
-    if last is not None:
-        yield batch([(part, LAST, last[0], *none, last[1])])
-
-
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for i, text, following in zip(b["_id"].to_pylist(), b["_text"].to_pylist(), b["following"].to_pylist(), strict=True):
+            if last is not None:
+                pairs.append((*last, text))
+            last = None if following else (i, text)
+            if len(pairs) >= 200:
+                yield done()
+    if pairs:
+        yield done()
+
+
+def _ranged(batches: Iterator[pa.RecordBatch], bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = compare(list(zip(b["_id"].to_pylist(), b["_text"].to_pylist(), b["following"].to_pylist(), strict=True)))
-        if rows:
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES[2:-1], strict=True)], _NAMES[2:-1])
+        at = np.searchsorted(bounds, b["_id"].to_numpy(), "right")
+        yield pa.record_batch([pa.array(at, pa.int32()), pa.array(np.zeros(len(b), bool)), b["_id"], b["_text"]], ["range", "following", "_id", "_text"])
 
 
 def neighbour_prints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     spark = df.sparkSession
     small_batches(spark)
-    ranged = id_text(df, id_col, text_col).repartitionByRange("_id").sortWithinPartitions("_id", "_text")
-    walked = stored(ranged.mapInArrow(_walk, OUT), "merkle")
-    out = walked.filter(f"kind = {WHOLE}").select(*_NAMES[2:-1])
-    parts = sorted(r["part"] for r in walked.filter(f"kind = {LAST}").select("part").collect())  # one number a range
-    if parts:
-        follow = spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1], strict=True)), "part int, next int")
-        first = walked.filter(f"kind = {FIRST}").select(F.col("part").alias("next"), F.col("_text").alias("following"))
-        edges = walked.filter(f"kind = {LAST}").select("part", "_id", "_text").join(follow, "part").join(first, "next").select("_id", "_text", "following")
-        out = out.unionByName(edges.mapInArrow(_pairs, ", ".join(OUT.split(", ")[2:-1])))
-    return out.withColumn("doc_id", real_id("_id")).select("doc_id", *_NAMES[3:-1])
+    docs, parts = id_text(df, id_col, text_col), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = RANGES * parts
+    # two numbers a range reach the driver: where it begins and its first id
+    bounds = np.unique(np.array(docs.approxQuantile("_id", [k / n for k in range(1, n)], min(0.001, 0.1 / n)), np.float64)).astype(np.int64)
+    schema = "range int, following boolean, _id long, _text string"
+    firsts = docs.select("_id", F.lit("").alias("_text")).mapInArrow(lambda it: _ranged(it, bounds), schema).groupBy("range").agg(F.min("_id").alias("first")).orderBy("range").collect()
+    before = [(firsts[k - 1]["range"], r["first"]) for k, r in enumerate(firsts)]
+    edges = docs.join(F.broadcast(spark.createDataFrame(before, "range int, _id long")), "_id").groupBy("range", "_id").agg(F.min("_text").alias("_text"))
+    rows = docs.mapInArrow(lambda it: _ranged(it, bounds), schema).unionByName(edges.select("range", F.lit(True).alias("following"), "_id", "_text"))
+    walked = rows.repartition(parts, "range").sortWithinPartitions("range", "following", "_id", "_text").select("_id", "_text", "following").mapInArrow(_walk, OUT)
+    return walked.withColumn("doc_id", real_id("_id")).select("doc_id", *_NAMES[1:])
 
 
 def op10_merkle_prints(spark, sf_dir: str) -> DataFrame:
