@@ -1,8 +1,10 @@
 """Jaccard self-join of documents on word n-gram sets, by T-occurrence search (DivideSkip).
 
 Two sets with similarity of at least t differ in at most D = floor(2 b (1-t)/(1+t)) elements, b being the largest size
-that meets at a level. The n-grams are dealt by hash into D+1+SPARE parts, so such sets agree in whole parts. That gives
-an exact way to bring possible partners together without pairs: a key is a level, a part and the sum of the part's hashes.
+that meets at a level. The n-grams are dealt by hash into D+1+s parts, so such sets agree in s+1 whole parts at least. Each
+set leaves out its s smallest parts (by size, then hash); the largest part that two sets agree in has s others below it in
+either set and so is left out by neither. That gives an exact way to bring possible partners together without pairs, and
+one that parts of a single frequent n-gram don't crowd: a key is a level, a part and the sum of the part's hashes.
 
 1. Signatures. Chunks of documents collapse equal sets to the smallest id and equal keys to one entry, so that a group of
    copies or near copies of any size sends one entry a key and chunk. Keys are dealt out as packed blocks; of each key the
@@ -33,8 +35,8 @@ from pyspark.sql import functions as F
 from skein.llm.common import NULL_ID, id_text, mix64, real_id, shingle_sets, small_batches, stored, table, utf8_buffer
 from skein.llm.components import Forest, components
 
-#: Documents of a chunk in step 1 (by bytes of text), n-grams of an index block, parts beyond D+1.
-CHUNK_BYTES, POSTINGS, SPARE = 12 << 20, 2_000_000, 1
+#: Documents of a chunk in step 1 (by bytes of text), n-grams of an index block, parts beyond D+1 as a share of D.
+CHUNK_BYTES, POSTINGS, SPARE = 12 << 20, 2_000_000, 0.3
 #: DivideSkip's weight of a probe against a merge step, and postings up to which a heap merges.
 MU, HEAP = 0.01, 4096
 _U = np.uint64
@@ -62,7 +64,8 @@ def signature_keys(flat: np.ndarray, at: np.ndarray, num: int, den: int) -> tupl
         level = own + up
         largest = bounds[np.minimum(level + 1, len(bounds) - 1)] - 1
         most = 2 * largest * (den - num) // (den + num)
-        parts = np.where(size > 0, most + 1 + SPARE, 0)
+        spare = 1 + (most * SPARE).astype(np.int64)
+        parts = np.where(size > 0, most + 1 + spare, 0)
         begin = np.cumsum(parts) - parts
         part = begin[doc] + ((spread * parts[doc].astype(np.uint64)) >> _U(32)).astype(np.int64)
         n = int(parts.sum())
@@ -71,10 +74,10 @@ def signature_keys(flat: np.ndarray, at: np.ndarray, num: int, den: int) -> tupl
             owner = np.repeat(np.arange(len(size)), parts)
             place = np.arange(n) - begin[owner]
             filled = np.bincount(part, minlength=n)
-            empty = np.bincount(owner, weights=(filled == 0).astype(float), minlength=len(size))
-            # an empty part says something only if a document has more of them than SPARE
-            use = (filled > 0) | (empty[owner] > SPARE)
             key = mix64(total * _U(0x9E3779B97F4A7C15) + mix64((level[owner].astype(np.uint64) << _U(32)) + place.astype(np.uint64)) + filled.astype(np.uint64))
+        # all but the smallest `spare` parts: of the parts in which two sets agree the largest is never among them
+        use = np.zeros(n, bool)
+        use[np.lexsort((key, filled, owner))] = place >= spare[owner]
         keys.append(key[use])
         docs.append(owner[use])
     return np.concatenate(keys), np.concatenate(docs)
@@ -129,7 +132,7 @@ def _stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _signatures(batches, width: int, num: int, den: int, buckets: int):
-    """Packed (key, id) entries by bucket; edges within the chunk have bucket -1 - something."""
+    """Packed (key, id) entries by bucket; the edges within the chunk go along in some bucket."""
     for ids, flat, at, first, _ in _chunks(batches, width):
         use = np.flatnonzero((first == np.arange(len(ids))) & (np.diff(at) > 0) & (ids != NULL_ID))
         if not len(use):
@@ -139,14 +142,30 @@ def _signatures(batches, width: int, num: int, den: int, buckets: int):
         pick = np.arange(ends[-1]) + np.repeat(at[use] - ends[:-1], size)
         keys, doc = signature_keys(flat[pick], ends, num, den)
         keys, owner, edges = _stars(keys, ids[use][doc])
-        bucket = ((keys >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int32)  # keys are sorted, so buckets are
+        bucket = ((keys >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int32)
+        order = np.lexsort((owner, bucket))
+        keys, owner, bucket = keys[order], owner[order], bucket[order]
         cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-        rows = [(int(bucket[a]), keys[a:b].tobytes(), np.ascontiguousarray(owner[a:b]).tobytes()) for a, b in zip(cuts, cuts[1:], strict=False)]
+        rows = [(int(bucket[a]), *_packed(keys[a:b], owner[a:b]), b"") for a, b in zip(cuts, cuts[1:], strict=False)]
         if len(edges):
-            rows.append((int(edges[0, 0]) % buckets, b"", edges.astype(np.int64).tobytes()))
+            rows.append((int(edges[0, 0]) % buckets, b"", b"", b"", edges.astype(np.int64).tobytes()))
         for k in range(0, len(rows), 500):
             part = rows[k : k + 500]
-            yield pa.record_batch([pa.array([r[0] for r in part], pa.int32()), pa.array([r[1] for r in part], pa.binary()), pa.array([r[2] for r in part], pa.binary())], ["bucket", "keys", "ids"])
+            yield pa.record_batch([pa.array([r[0] for r in part], pa.int32()), *[pa.array([r[i] for r in part], pa.binary()) for i in range(1, 5)]], ["bucket", "keys", "ids", "counts", "edges"])
+
+
+def _packed(keys: np.ndarray, owner: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Entries sorted by id in few bytes: 40 bits of each key (the bucket has the high ones; a chance agreement is only one more comparison), and of each id its distance to the one before and the number of its keys."""
+    new = np.concatenate([[True], owner[1:] != owner[:-1]])
+    ids = owner[new]
+    counts = np.diff(np.append(np.flatnonzero(new), len(owner)))
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes(), np.diff(ids, prepend=0).astype("<i8").tobytes(), counts.astype("<u4").tobytes()
+
+
+def _unpacked(keys: bytes, ids: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    wide = np.zeros((len(keys) // 5, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(keys, np.uint8).reshape(-1, 5)
+    return wide.view("<u8").reshape(-1).astype(np.uint64), np.repeat(np.cumsum(np.frombuffer(ids, "<i8")), np.frombuffer(counts, "<u4"))
 
 
 def _edges(batches):
@@ -160,16 +179,17 @@ def _edges(batches):
 
     bucket, keys, ids = None, [], []
     for b in batches:
-        for at, k, i in zip(b["bucket"].to_pylist(), b["keys"].to_pylist(), b["ids"].to_pylist(), strict=True):
-            if not k:
-                pairs = np.frombuffer(i, np.int64).reshape(-1, 2)
+        for at, k, i, c, e in zip(*[b[n].to_pylist() for n in ("bucket", "keys", "ids", "counts", "edges")], strict=True):
+            if e:
+                pairs = np.frombuffer(e, np.int64).reshape(-1, 2)
                 yield pa.record_batch([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["u", "v"])
                 continue
             if at != bucket:
                 yield from close(keys, ids)
                 bucket, keys, ids = at, [], []
-            keys.append(np.frombuffer(k, np.uint64))
-            ids.append(np.frombuffer(i, np.int64))
+            more = _unpacked(k, i, c)
+            keys.append(more[0])
+            ids.append(more[1])
     yield from close(keys, ids)
 
 
@@ -318,7 +338,7 @@ def jaccard_components(df: DataFrame, width: int = 5, num: int = 80, den: int =
     heads = members.filter(f"id = head and n > 0 and id != {NULL_ID}").select("id", "n", "h1", "h2").distinct()
     equal = heads.groupBy("n", "h1", "h2").agg(F.min("id").alias("first"))
     firsts = stored(heads.join(equal, ["n", "h1", "h2"]).groupBy("id").agg(F.min("first").alias("first"), F.max("first").alias("other"), F.max("n").alias("n")), "first")
-    signs = docs.mapInArrow(lambda it: _signatures(it, width, num, den, buckets), "bucket int, keys binary, ids binary")
+    signs = docs.mapInArrow(lambda it: _signatures(it, width, num, den, buckets), "bucket int, keys binary, ids binary, counts binary, edges binary")
     stars = stored(signs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_edges, "u long, v long"), "stars")
     one = firsts.select("id", "first")
     stars = stars.join(one.select(F.col("id").alias("u"), F.col("first").alias("a")), "u").join(one.select(F.col("id").alias("v"), F.col("first").alias("b")), "v").filter("a != b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
