@@ -264,7 +264,6 @@ class Index:
                 doc = heap[0][0] - 1 if heap else doc
             for _, k, at in popped:
                 p = pieces[k]
-                at += 1
                 while at < len(p) and p[at] <= doc:
                     at += 1
                 if at < len(p):

@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from skein.llm import jaccard_join as J
@@ -70,3 +71,48 @@ def test_odd_rows(odd_docs, no_docs):
     assert [r.component_id for r in got[9:]] == [None, None] and got[3].n_shingles == got[7].n_shingles == 0
     assert sorted((r.doc_id or 0) for r in J.one_of_each(odd_docs).collect()) == [0, 0, 1, 1, 3, 4, 6, 8, 9]
     assert J.one_of_each(odd_docs).columns == odd_docs.columns and J.one_of_each(no_docs).count() == 0
+
+
+def at_the_bound(rng, num, den):
+    """Sets of a group of copies of 100 to 2,000 n-grams, most of which agree in exactly as many as the bound asks for, the others in one fewer."""
+    sets, fresh = [], iter(range(10**6, 10**7))
+    for base in range(3):
+        size = rng.randrange(100, 2000) // (num + den) * (num + den) or num + den
+        common = rng.sample(range(10**5), size)
+        least = -(-2 * num * size // (num + den))
+        sets.append(common)
+        for k in range(6):
+            left = rng.sample(common, least - (k == 5))
+            sets.append(left + [next(fresh) for _ in range(size - len(left))])
+        part = rng.sample(common, size * num // den)
+        sets += [part, part[1:]]
+    rng.shuffle(sets)
+    return [np.array(sorted(s), np.uint64) for s in sets]
+
+
+@pytest.mark.parametrize("heap", [0, 1 << 60])
+@pytest.mark.parametrize("num", [50, 80, 90])
+def test_search_finds_all_at_the_bound(heap, num, monkeypatch):
+    monkeypatch.setattr(J, "HEAP", heap)
+    sets = at_the_bound(random.Random(num), num, 100)
+    index = J.Index(sets, num, 100)
+    plain = [set(s.tolist()) for s in sets]
+    links = 0
+    for q, a in enumerate(plain):
+        want = [d for d, b in enumerate(plain) if 100 * len(a & b) >= num * len(a | b)]
+        assert sorted(index.search(sets[q], lambda docs: docs >= 0)) == want
+        links += len(want) - 1
+    assert links >= 3 * 6
+
+
+@pytest.mark.parametrize("heap", [0, 1 << 60])
+def test_merge_counts_every_list(heap, monkeypatch):
+    monkeypatch.setattr(J, "HEAP", heap)
+    rng = random.Random(5)
+    for _ in range(300):
+        lists = [sorted(rng.sample(range(12), rng.randrange(1, 7))) for _ in range(rng.randrange(1, 9))]
+        sets = [np.array([k for k, p in enumerate(lists) if d in p], np.uint64) for d in range(12)]
+        index = J.Index(sets, 50, 100)
+        for threshold in range(1, len(lists) + 1):
+            docs, times = index._merge(np.arange(len(lists)), sum(map(len, lists)), threshold)
+            assert dict(zip(docs.tolist(), times.tolist(), strict=True)) == {d: len(s) for d, s in enumerate(sets) if len(s) >= threshold}
