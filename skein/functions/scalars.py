@@ -143,6 +143,18 @@ COPY, LITERAL = 0, 1
 GRAM, SHORTEST = 4, 8
 
 
+def _agreement(old: bytes, j: int, new: bytes, i: int, n: int) -> int:
+    """Length of the run that old from j and new from i have in common, n of it known: in steps that double, then halve."""
+    most, step = min(len(old) - j, len(new) - i), 16
+    while n < most and old[j + n : j + min(n + step, most)] == new[i + n : i + min(n + step, most)]:
+        n, step = min(n + step, most), 2 * step
+    while step:
+        if n + step <= most and old[j + n : j + n + step] == new[i + n : i + n + step]:
+            n += step
+        step //= 2
+    return n
+
+
 def make_diff(old: bytes, new: bytes) -> list[tuple[int, int, bytes]]:
     """Segments that make new from old: (COPY, offset in old, length as bytes) or (LITERAL, 0, content)."""
     index: dict[bytes, list[int]] = {}
@@ -152,11 +164,9 @@ def make_diff(old: bytes, new: bytes) -> list[tuple[int, int, bytes]]:
     while i < len(new):
         best, where = 0, 0
         for j in index.get(new[i : i + GRAM], ())[:64]:
-            n = GRAM
-            while i + n < len(new) and j + n < len(old) and new[i + n] == old[j + n]:
-                n += 1
-            if n > best:
-                best, where = n, j
+            if best and (i + best >= len(new) or j + best >= len(old) or new[i + best] != old[j + best] or new[i : i + best] != old[j : j + best]):
+                continue  # no longer than the best
+            best, where = _agreement(old, j, new, i, best or GRAM), j
         if best >= SHORTEST:
             if held:
                 out.append((LITERAL, 0, bytes(held)))

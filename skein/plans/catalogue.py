@@ -200,6 +200,12 @@ def cat_range(spark, sf_dir):
     return df.select("doc_id", F.decode(S.byte_slice(F.concat("lang", F.lit(":"), "source"), 1, 5), "UTF-8").alias("part"))
 
 
+@query("cat_range_all", "SELECT doc_id, substr(lang || ':' || source, 2, 4) AS part FROM documents")
+def cat_range_all(spark, sf_dir):
+    """cat_range over all documents."""
+    return t(spark, sf_dir, "documents").select("doc_id", F.decode(S.byte_slice(F.concat("lang", F.lit(":"), "source"), 1, 5), "UTF-8").alias("part"))
+
+
 # -- vectors, pages ---------------------------------------------------------------------------------------------------
 COSINE = "WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 7), s AS (SELECT vec_id, label, list_cosine_similarity(embedding::DOUBLE[], q.v) AS score FROM embeddings, q) SELECT vec_id, label, round(score, 6) AS score FROM s WHERE score >= 0 ORDER BY s.score DESC, vec_id"
 
@@ -346,6 +352,15 @@ def diff_roundtrip(spark, sf_dir):
     return new.join(diffs, "doc_id").select("doc_id", F.sha2(S.patch(S.raw(F.col("text")), F.col("diff")), 256).alias("restored"))
 
 
+@query("diff_roundtrip_all", "SELECT doc_id, sha256(text) AS restored FROM documents")
+def diff_roundtrip_all(spark, sf_dir):
+    """diff_roundtrip over all documents and whole texts."""
+    docs = t(spark, sf_dir, "documents").select("doc_id", "text")
+    new = docs.select("doc_id", F.concat(F.lit("edited "), F.regexp_replace("text", "the", "a")).alias("text"))
+    diffs = blobs.history(docs, new, "doc_id", "text")
+    return new.join(diffs, "doc_id").select("doc_id", F.sha2(S.patch(S.raw(F.col("text")), F.col("diff")), 256).alias("restored"))
+
+
 @query("encrypt_roundtrip", "SELECT c_custkey, c_name FROM customer")
 def encrypt_roundtrip(spark, sf_dir):
     key, wrong = b"0123456789abcdef", b"fedcba9876543210"
