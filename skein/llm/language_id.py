@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skein.llm.common import NULL_ID, mix64, real_id, small_batches, stored, table, utf8_buffer, word_hashes
 
@@ -107,20 +108,31 @@ def _fuse(batches: Iterator[pa.RecordBatch], names: list[str], declared: dict, s
         yield pa.record_batch([b["_id"], b["declared"], pa.array(name), pa.array(alone), pa.array(np.where(there, sure, 0.0)), pa.array(there & (sure >= CONFIDENT))], ["doc_id", "declared", "language", "text_language", "confidence", "kept"])
 
 
+def _keep(batches: Iterator[pa.RecordBatch], weight: np.ndarray, names: list[str], declared: dict, suffix: dict) -> Iterator[pa.RecordBatch]:
+    """The packed rows that are kept, each by its own posterior."""
+    for b in batches:
+        scored = next(_score(iter([b]), weight))
+        scored = pa.RecordBatch.from_arrays([*scored.columns, b["prior"]], [*scored.schema.names, "prior"])
+        kept = next(_fuse(iter([scored]), names, declared, suffix))["kept"]
+        yield pa.record_batch([b["_row"].filter(kept)], ["_row"])
+
+
 OUT = "doc_id long, declared string, language string, text_language string, confidence double, kept boolean"
 
 
-def identify(rows: DataFrame) -> DataFrame:
-    """rows: _id, _text, declared, suffix, host (strings or null). One row out for each row in."""
+def _inputs(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select(F.coalesce("_id", F.lit(NULL_ID)).alias("_id"), F.coalesce("_text", F.lit("")).alias("_text"), F.lower("declared").alias("declared"), F.pmod(F.xxhash64(F.coalesce(F.lower("suffix"), F.lit(""))), F.lit(SUFFIXES)).cast("int").alias("suffix"), F.coalesce("host", F.lit("")).alias("host"), *more)
+
+
+def _fit(rows: DataFrame):
+    """(scored rows, names, weight, P(declared), P(suffix), hosts' priors), or None without a declared language."""
     spark = rows.sparkSession
-    small_batches(spark)
-    rows = rows.select(F.coalesce("_id", F.lit(NULL_ID)).alias("_id"), F.coalesce("_text", F.lit("")).alias("_text"), F.lower("declared").alias("declared"), F.pmod(F.xxhash64(F.coalesce(F.lower("suffix"), F.lit(""))), F.lit(SUFFIXES)).cast("int").alias("suffix"), F.coalesce("host", F.lit("")).alias("host"))
     # SAMPLE ids and LANGUAGES names reach the driver
     sample = [r["_id"] for r in rows.filter("declared is not null").select("_id").orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE).collect()]
     chosen = rows.join(F.broadcast(spark.createDataFrame([(x,) for x in set(sample)] or [(NULL_ID,)], "_id long")), "_id", "left_semi").filter("declared is not null")
     names = sorted(r["declared"] for r in chosen.groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(LANGUAGES).collect())
     if not names:
-        return rows.select(real_id("_id").alias("doc_id"), "declared", F.lit("und").alias("language"), F.lit("und").alias("text_language"), F.lit(0.0).alias("confidence"), F.lit(False).alias("kept"))
+        return None
     width = len(names)
     counts = np.full((width, 2 * FEATURES), 0.1)
     for r in chosen.select("_text", "declared").mapInArrow(lambda it: _count(it, names), "k int, f int, n long").groupBy("k", "f").agg(F.sum("n").alias("n")).collect():
@@ -151,13 +163,28 @@ def identify(rows: DataFrame) -> DataFrame:
     n_host, n_domain = sum((F.col(f"p{k}") for k in range(1, width)), F.col("p0")), sum((F.col(f"d{k}") for k in range(1, width)), F.col("d0"))
     smooth = [(F.col(f"p{k}") + STRENGTH * (F.col(f"d{k}") + STRENGTH * float(base[k])) / (n_domain + STRENGTH)) / (n_host + STRENGTH) for k in range(width)]
     priors = hosts.join(domains, "domain").select("host", F.array(*smooth).alias("prior"))
+    return scored, names, weight, declared, suffix, priors
+
+
+def identify(rows: DataFrame) -> DataFrame:
+    """rows: _id, _text, declared, suffix, host (strings or null). One row out for each row in."""
+    small_batches(rows.sparkSession)
+    rows = _inputs(rows)
+    model = _fit(rows)
+    if model is None:
+        return rows.select(real_id("_id").alias("doc_id"), "declared", F.lit("und").alias("language"), F.lit("und").alias("text_language"), F.lit(0.0).alias("confidence"), F.lit(False).alias("kept"))
+    scored, names, _, declared, suffix, priors = model
     fused = scored.join(priors, "host").select("_id", "declared", "suffix", "ll", "words", "prior")
     return fused.mapInArrow(lambda it: _fuse(it, names, declared, suffix), OUT).withColumn("doc_id", real_id("doc_id"))
 
 
+def _evidence(id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang", host_col: str = "source") -> list:
+    return [F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text"), F.col(f"`{declared_col}`").alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col(f"`{host_col}`").alias("host")]
+
+
 def of_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang", host_col: str = "source") -> DataFrame:
     """Documents: the declared language is a column, the source stands for the host, there is no address."""
-    return identify(df.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text"), F.col(f"`{declared_col}`").alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col(f"`{host_col}`").alias("host")))
+    return identify(df.select(*_evidence(id_col, text_col, declared_col, host_col)))
 
 
 def of_pages(df: DataFrame, text: DataFrame) -> DataFrame:
@@ -170,9 +197,16 @@ def of_pages(df: DataFrame, text: DataFrame) -> DataFrame:
 
 
 def keep_identified(df: DataFrame) -> DataFrame:
-    """df without the rejected documents; rows of one id go together."""
-    gone = of_documents(df).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return df.join(gone, df["doc_id"].cast("long").eqNullSafe(gone["_gone"]), "left_anti")
+    """df without the rejected rows, all columns as they were; each row is judged by itself, whatever its id."""
+    small_batches(df.sparkSession)
+    packed = df.select(*_evidence(), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
+    model = _fit(_inputs(df.select(*_evidence())))
+    if model is None:
+        return df.filter(F.lit(False))
+    _, names, weight, declared, suffix, priors = model
+    rows = _inputs(packed, "_row").join(priors, "host")
+    kept = rows.mapInArrow(lambda it: _keep(it, weight, names, declared, suffix), T.StructType([packed.schema["_row"]]))
+    return kept.select([F.col("_row").getField(c).alias(c) for c in df.columns])
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:

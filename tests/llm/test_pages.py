@@ -2,6 +2,8 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from skein.llm import html_text, language_id
 from skein.llm.common import table
 
@@ -68,3 +70,16 @@ def test_evidence_decides_where_the_text_says_little(spark):
 def test_languages_of_pages(spark, sf):
     got = language_id.language_id_pages(spark, sf).collect()
     assert len(got) == table(spark, sf, "pages").count() and sum(r.language == r.declared for r in got) >= 0.9 * len(got)
+
+
+def test_rejected_rows_take_no_others_along(spark, sf, odd_docs):
+    left = language_id.keep_identified(odd_docs).collect()
+    assert sorted(r.text for r in left if r.doc_id is None) == ["lost id"]
+    docs = table(spark, sf, "documents")
+    third = docs.withColumn("doc_id", F.when(F.col("doc_id") % 3 == 0, None).when(F.col("doc_id") % 3 == 1, F.lit(7)).otherwise(F.col("doc_id")).cast("long"))
+    blank = docs.limit(1).withColumn("text", F.lit(" "))
+    blanks = blank.withColumn("doc_id", F.lit(None).cast("long")).unionByName(blank.withColumn("doc_id", F.lit(7).cast("long")))
+    mixed = third.unionByName(blanks.select(third.columns))
+    kept = language_id.of_documents(mixed).filter("kept").count()
+    got = language_id.keep_identified(mixed)
+    assert got.schema == mixed.schema and got.count() == kept > 0.9 * docs.count()
