@@ -10,6 +10,7 @@ QUERIES = {
     "op5_token_file": huffman.op5_token_file,
     "op6_packing": packing.op6_packing,
     "op7_sentencepiece": pieces.op7_sentencepiece,
+    "sentencepiece_unigram": pieces.sentencepiece_unigram,
     "op8_language_id": language_id.op8_language_id,
     "op9_chat_format": chat.op9_chat_format,
     "op10_merkle_prints": merkle.op10_merkle_prints,
