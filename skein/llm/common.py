@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Stands for a null id inside an operator, so that nulls sort first; it is turned back at the end.
 NULL_ID = -(2**63)
 #: Rows and bytes of one Arrow batch handed to a Python worker.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 #: Bytes of text that are hashed at once.
 SLICE = 1 << 20
 
@@ -22,8 +22,8 @@ _U = np.uint64
 _MUL = _U(0x9E3779B97F4A7C15)
 _POW = np.empty(0, np.uint64)
 _TABLE = np.random.default_rng(20240501).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
@@ -123,7 +123,7 @@ def _slice_hashes(data: np.ndarray, starts: np.ndarray, lower: bool) -> tuple[np
     place = keep - begin[w]
     letters = data[keep]
     if lower:
-        letters = _LOWER[letters]
+        letters = LOWER[letters]
     with np.errstate(over="ignore"):
         value = _TABLE[letters] * _powers(int(place.max()) + 1)[place]
         cut = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))

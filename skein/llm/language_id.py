@@ -2,9 +2,9 @@
 
 For each language: posterior ~ host prior x P(text | language) x P(declared | language) x P(address suffix | language).
 
-- Text: a multinomial model over hashed words and byte trigrams, fitted on SAMPLE rows with a declared language (the rows
-  with the least hashed ids; the counts are a grouped sum). Its log-likelihood is discounted, as neighbouring features
-  depend on each other.
+- Text: a multinomial model over hashed words and byte trigrams, one language for each value that is declared anywhere in
+  the table, fitted on at most SAMPLE rows of each (those with the least hashes; the counts are a grouped sum). The weights
+  take 256 KB a language. The log-likelihood is discounted, as neighbouring features depend on each other.
 - Declared language and suffix (a language code in the path, or else the top-level domain): how often each goes with each
   language is counted over all rows, by what the text alone says, and smoothed.
 - Host prior: the text-only posteriors of all rows are summed by host, by domain and in all; a host's prior is smoothed
@@ -17,62 +17,79 @@ their own kind; rows are judged one by one, so repeated rows and ties are judged
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import NULL_ID, mix64, real_id, small_batches, stored, table, utf8_buffer, word_hashes
+from skein.llm.common import LOWER, NULL_ID, SLICE, mix64, real_id, small_batches, stored, table, utf8_buffer, word_hashes
 
-#: Rows that the text model is fitted on; languages it can tell; hashed features of each kind.
-SAMPLE, LANGUAGES, FEATURES = 4000, 32, 1 << 15
+#: Rows of each declared language that the text model is fitted on, at most; hashed features of each kind.
+SAMPLE, FEATURES = 1000, 1 << 15
 #: Strength of the smoothing of hosts and domains, kinds of suffixes, least posterior of a kept row.
 STRENGTH, SUFFIXES, CONFIDENT = 20.0, 1024, 0.5
 
-MARKUP = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
 
+def _owners(at: np.ndarray, a: int, b: int) -> np.ndarray:
+    """The documents of the places a to b, of which at has the n+1 offsets."""
+    first, last = int(np.searchsorted(at, a, "right")) - 1, int(np.searchsorted(at, b - 1, "right"))
+    ends = np.clip(at[first : last + 1], a, b)
+    return np.repeat(np.arange(first, last, dtype=np.int32), np.diff(ends))
 
-def text_features(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(feature, document, words of each document)."""
+
+def text_features(col: pa.Array) -> tuple[np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """Words of each document; (features, their documents) of at most SLICE words or byte trigrams at a time, so that arrays stay small whatever the texts' lengths."""
     data, offsets = utf8_buffer(col)
     words, at = word_hashes(data, offsets)
-    doc = np.repeat(np.arange(len(col)), np.diff(at))
-    if len(data) < 3:
-        return (words >> np.uint64(49)).astype(np.int64), doc, np.diff(at)
-    low = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint64)
-    tri = (low[:-2] << np.uint64(16)) | (low[1:-1] << np.uint64(8)) | low[2:]
-    place = np.arange(len(tri))
-    owner = np.searchsorted(offsets, place, "right") - 1
-    ok = place + 2 < offsets[owner + 1]
-    return np.concatenate([(words >> np.uint64(49)).astype(np.int64), FEATURES + (mix64(tri[ok]) >> np.uint64(49)).astype(np.int64)]), np.concatenate([doc, owner[ok]]), np.diff(at)
+
+    def slices():
+        for a in range(0, len(words), SLICE):
+            part = words[a : a + SLICE]
+            yield (part >> np.uint64(49)).astype(np.int32), _owners(at, a, a + len(part))
+        for a in range(0, len(data) - 2, SLICE):
+            low = LOWER[data[a : a + SLICE + 2]].astype(np.uint32)
+            tri = (low[:-2] << np.uint32(16)) | (low[1:-1] << np.uint32(8)) | low[2:]
+            inside = np.ones(len(tri), bool)
+            ends = offsets[np.searchsorted(offsets, a, "right") : np.searchsorted(offsets, a + len(tri) + 2, "right")] - a
+            for back in (1, 2):  # no trigram goes on into the next text
+                place = ends - back
+                inside[place[(place >= 0) & (place < len(tri))]] = False
+            doc = _owners(offsets, a, a + len(tri))
+            yield FEATURES + (mix64(tri[inside].astype(np.uint64)) >> np.uint64(49)).astype(np.int32), doc[inside]
+
+    return np.diff(at), slices()
 
 
 def _count(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((len(names), 2 * FEATURES), np.int64)
+    total = np.zeros(len(names) * 2 * FEATURES, np.int64)
     number = {n: k for k, n in enumerate(names)}
     for b in batches:
-        feature, doc, _ = text_features(b["_text"])
-        lang = np.array([number.get(x, -1) for x in b["declared"].to_pylist()], np.int64)[doc]
-        keep = lang >= 0
-        np.add.at(total, (lang[keep], feature[keep]), 1)
-    k, f = np.nonzero(total)
-    yield pa.record_batch([pa.array(k, pa.int32()), pa.array(f, pa.int32()), pa.array(total[k, f])], ["k", "f", "n"])
+        _, slices = text_features(b["_text"])
+        lang = np.array([number[x] for x in b["declared"].to_pylist()], np.int64)
+        for feature, doc in slices:
+            found, times = np.unique(lang[doc] * (2 * FEATURES) + feature, return_counts=True)
+            total[found] += times
+    place = np.flatnonzero(total)
+    yield pa.record_batch([pa.array(place), pa.array(total[place])], ["place", "n"])
 
 
-def _score(batches: Iterator[pa.RecordBatch], weight: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """weight: (features, languages) log-probabilities."""
+def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """shared: the broadcast (languages, features) log-probabilities."""
     for b in batches:
-        feature, doc, words = text_features(b["_text"])
-        n = np.bincount(doc, minlength=len(words)).astype(float)
-        doc = doc.astype(np.int64)
-        ll = np.stack([np.bincount(doc, weights=weight[feature, k], minlength=len(words)).astype(float) for k in range(weight.shape[1])], axis=1)
+        words, slices = text_features(b["_text"])
+        ll, n = np.zeros((len(words), len(shared.value))), np.zeros(len(words))
+        for feature, doc in slices:
+            if len(doc):
+                first, last = int(doc[0]), int(doc[-1]) + 1
+                n[first:last] += np.bincount(doc - first, minlength=last - first)
+                for k, weight in enumerate(shared.value):
+                    ll[first:last, k] += np.bincount(doc - first, weights=weight[feature], minlength=last - first)
         # as if only so many of n dependent features were seen
         ll *= (np.minimum(n, 4 * np.sqrt(n)) / np.maximum(n, 1))[:, None]
-        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1) * weight.shape[1], pa.int32()), pa.array(ll.reshape(-1)))
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1) * ll.shape[1], pa.int32()), pa.array(ll.reshape(-1)))
         yield pa.record_batch([b["_id"], b["declared"], b["suffix"], b["host"], flat, pa.array(words)], ["_id", "declared", "suffix", "host", "ll", "words"])
 
 
@@ -108,7 +125,7 @@ def _fuse(batches: Iterator[pa.RecordBatch], names: list[str], declared: dict, s
         yield pa.record_batch([b["_id"], b["declared"], pa.array(name), pa.array(alone), pa.array(np.where(there, sure, 0.0)), pa.array(there & (sure >= CONFIDENT))], ["doc_id", "declared", "language", "text_language", "confidence", "kept"])
 
 
-def _keep(batches: Iterator[pa.RecordBatch], weight: np.ndarray, names: list[str], declared: dict, suffix: dict) -> Iterator[pa.RecordBatch]:
+def _keep(batches: Iterator[pa.RecordBatch], weight, names: list[str], declared: dict, suffix: dict) -> Iterator[pa.RecordBatch]:
     """The packed rows that are kept, each by its own posterior."""
     for b in batches:
         scored = next(_score(iter([b]), weight))
@@ -127,24 +144,25 @@ def _inputs(rows: DataFrame, *more: str) -> DataFrame:
 def _fit(rows: DataFrame):
     """(scored rows, names, weight, P(declared), P(suffix), hosts' priors), or None without a declared language."""
     spark = rows.sparkSession
-    # SAMPLE ids and LANGUAGES names reach the driver
-    sample = [r["_id"] for r in rows.filter("declared is not null").select("_id").orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE).collect()]
-    chosen = rows.join(F.broadcast(spark.createDataFrame([(x,) for x in set(sample)] or [(NULL_ID,)], "_id long")), "_id", "left_semi").filter("declared is not null")
-    names = sorted(r["declared"] for r in chosen.groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(LANGUAGES).collect())
+    many = {r["declared"]: r["count"] for r in rows.filter("declared is not null").groupBy("declared").count().collect()}
+    names = sorted(many)
     if not names:
         return None
     width = len(names)
+    # hashes thin every language out to about twice SAMPLE rows, of which the least ones are taken
+    share = F.create_map(*[F.lit(x) for n in names for x in (n, min(1.0, 2 * SAMPLE / many[n]))])
+    thinned = rows.filter("declared is not null").select("_text", "declared", F.xxhash64("_id", F.length("_text")).alias("_hash")).filter(F.pmod("_hash", F.lit(1 << 30)) < share[F.col("declared")] * (1 << 30))
+    chosen = thinned.withColumn("_place", F.row_number().over(Window.partitionBy("declared").orderBy("_hash", "_text"))).filter(F.col("_place") <= SAMPLE)
     counts = np.full((width, 2 * FEATURES), 0.1)
-    for r in chosen.select("_text", "declared").mapInArrow(lambda it: _count(it, names), "k int, f int, n long").groupBy("k", "f").agg(F.sum("n").alias("n")).collect():
-        counts[r["k"], r["f"]] += r["n"]
+    found = chosen.select("_text", "declared").mapInArrow(lambda it: _count(it, names), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    counts.reshape(-1)[found["place"].to_numpy()] += found["n"].to_numpy()
     for half in (slice(0, FEATURES), slice(FEATURES, 2 * FEATURES)):
         counts[:, half] /= counts[:, half].sum(axis=1, keepdims=True)
-    weight = np.log(counts).T.copy()
+    weight = spark.sparkContext.broadcast(np.log(counts).astype(np.float32))
     scored = stored(rows.select("_id", "_text", "declared", "suffix", "host").mapInArrow(lambda it: _score(it, weight), "_id long, declared string, suffix int, host string, ll array<double>, words long"), "languages")
     posts = scored.select("declared", "suffix", "host", "ll", "words").mapInArrow(lambda it: _sums(it, width), "declared string, suffix int, host string, " + ", ".join(f"p{k} double" for k in range(width)))
     sums = [F.sum(f"p{k}").alias(f"p{k}") for k in range(width)]
-    known = F.when(F.col("declared").isin(names), F.col("declared")).when(F.col("declared").isNull(), F.lit(None)).otherwise("other")
-    small = stored(posts.withColumn("declared", known).groupBy("declared", "suffix", "host").agg(*sums), "evidence")
+    small = stored(posts.groupBy("declared", "suffix", "host").agg(*sums), "evidence")
 
     def likelihood(column: str, kinds: int) -> dict:
         """log P(value | language) for the values of a bounded column."""
@@ -187,13 +205,12 @@ def of_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return identify(df.select(*_evidence(id_col, text_col, declared_col, host_col)))
 
 
-def of_pages(df: DataFrame, text: DataFrame) -> DataFrame:
-    """Pages with their extracted text (page_id, text): markup language, suffix and host come from html and url."""
+def of_pages(pages: DataFrame) -> DataFrame:
+    """Pages (page_id, url, html; text as html_text.extract() puts beside them): markup language, suffix and host come from html and url. One row out for each row in."""
     markup = F.nullif(F.regexp_extract("html", r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", 1), F.lit(""))
     host = F.lower(F.regexp_extract("url", r"^[a-zA-Z]+://(?:[^/@]*@)?([^/:?#]+)", 1))
     code, top = F.regexp_extract("url", r"^[a-zA-Z]+://[^/]+/([a-z]{2})(?:[/?#]|$)", 1), F.regexp_extract(host, r"\.([a-z]+)$", 1)
-    facts = df.select(F.col("page_id").cast("long").alias("_id"), markup.alias("declared"), F.when(code != "", code).otherwise(top).alias("suffix"), host.alias("host"))
-    return identify(facts.join(text.select(F.col("page_id").cast("long").alias("_id"), F.col("text").alias("_text")), "_id"))
+    return identify(pages.select(F.col("page_id").cast("long").alias("_id"), F.col("text").alias("_text"), markup.alias("declared"), F.when(code != "", code).otherwise(top).alias("suffix"), host.alias("host")))
 
 
 def keep_identified(df: DataFrame) -> DataFrame:
@@ -216,5 +233,4 @@ def op8_language_id(spark, sf_dir: str) -> DataFrame:
 def language_id_pages(spark, sf_dir: str) -> DataFrame:
     from skein.llm import html_text
 
-    pages = table(spark, sf_dir, "pages")
-    return of_pages(pages, html_text.extract(pages)).withColumnRenamed("doc_id", "page_id")
+    return of_pages(html_text.extract(table(spark, sf_dir, "pages"), with_html=True)).withColumnRenamed("doc_id", "page_id")

@@ -8,8 +8,10 @@ size, never a collected set.
    length) are computed once and stored, some dozens of numbers a row.
 2. At most LABELLED labelled rows are looked up (those with the least hashed ids). Their quantiles give the bins; four of
    five rows count, the fifth is for calibration.
+   Where those held back are not of both kinds (few labels), all count and all calibrate.
 3. In each of ROUNDS rounds every unlabelled row that one view is sure of (SURE) counts for the other view under that label.
-4. Each view's score is calibrated on the rows held back (Platt), so a view that knows nothing stays at the base rate; the
+4. Each view's score is calibrated on the rows held back (Platt), so a view that knows nothing, or runs against the labels, stays at the
+   base rate; the
    calibrated log-odds add up, less the base rate's.
 
 Defined results: null text counts as empty, null metadata is a value of its own, rows of equal id share their label (the
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import NULL_ID, real_id, small_batches, stored, table, utf8_buffer, word_hashes
+from skein.llm.common import NULL_ID, SLICE, real_id, small_batches, stored, table, utf8_buffer, word_hashes
 
 LABELLED, ROUNDS, SURE = 20_000, 3, 0.97
 #: Quantiles at which bins begin; close to each other at the ends, where junk is.
@@ -45,27 +47,36 @@ TEXT = ["lower", "upper", "digit", "space", "marks", "symbols", "bars", "word_le
 
 
 def text_features(col: pa.Array) -> np.ndarray:
-    """(rows, features): see TEXT."""
+    """(rows, features): see TEXT. Works through runs of texts of about SLICE bytes; of a longer text only the words' hashes are held at once."""
     data, offsets = utf8_buffer(col)
-    n, size = len(col), np.diff(offsets).astype(float)
-    doc = np.repeat(np.arange(n), np.diff(offsets))
-    kinds = np.bincount(doc * 8 + _KIND[data], minlength=8 * n).reshape(n, 8).astype(float) if n else np.zeros((0, 8))
+    out, a = [np.zeros((0, len(TEXT)))], 0
+    while a < len(col):
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + SLICE, "right")) - 1)
+        out.append(_run_features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
+        a = b
+    return np.concatenate(out)
+
+
+def _run_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    n, size = len(offsets) - 1, np.diff(offsets).astype(float)
+    kinds, lines = np.zeros(8 * n), np.ones(n)
+    for a in range(0, len(data), SLICE):
+        part = data[a : a + SLICE]
+        doc = np.searchsorted(offsets, np.arange(a, a + len(part)), "right") - 1 if n > 1 else np.zeros(len(part), np.int64)
+        kinds += np.bincount(doc * 8 + _KIND[part], minlength=8 * n)
+        lines += np.bincount(doc[part == 10], minlength=n)
+    kinds = kinds.reshape(n, 8)
     share = kinds[:, 1:] / np.maximum(size, 1)[:, None]
-    lines = np.bincount(doc[data == 10], minlength=n) + 1.0
     words, at = word_hashes(data, offsets)
     count = np.diff(at).astype(float)
-    owner = np.repeat(np.arange(n), np.diff(at))
-    order = np.lexsort((words, owner))
-    w, o = words[order], owner[order]
-    new = np.ones(len(w), bool)
-    new[1:] = (w[1:] != w[:-1]) | (o[1:] != o[:-1])
-    distinct = np.bincount(o[new], minlength=n)
-    runs = np.diff(np.append(np.flatnonzero(new), len(w)))
-    commonest = np.zeros(n)
-    np.maximum.at(commonest, o[new], runs)
-    same = np.zeros(len(words), bool)
-    same[1:] = (words[1:] == words[:-1]) & (owner[1:] == owner[:-1])
-    repeats = np.bincount(owner[same], minlength=n)
+    distinct, commonest, repeats = np.zeros(n), np.zeros(n), np.zeros(n)
+    for k in range(n):
+        w = words[at[k] : at[k + 1]]
+        if len(w):
+            repeats[k] = np.count_nonzero(w[1:] == w[:-1])
+            w = np.sort(w)
+            ends = np.flatnonzero(np.append(w[1:] != w[:-1], True))
+            distinct[k], commonest[k] = len(ends), np.diff(ends, prepend=-1).max()
     letters = size - kinds[:, 4]
     least = np.maximum(count, 1)
     mean = letters / least
@@ -136,8 +147,9 @@ class Views:
 
 
 def platt(score: np.ndarray, good: np.ndarray) -> tuple[float, float]:
-    """a, c of the logistic curve a * score + c through the rows, by Newton steps with a slight pull to 0."""
-    a, c = 0.0, float(np.log((good.sum() + 1) / ((1 - good).sum() + 1)))
+    """a, c of the logistic curve a * score + c through the rows, by Newton steps with a slight pull to 0. A score that runs against the labels gets a = 0 and the base rate's c."""
+    base = float(np.log((good.sum() + 1) / ((1 - good).sum() + 1)))
+    a, c = 0.0, base
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * score + c, -30, 30)))
         w = p * (1 - p) + 1e-9
@@ -147,7 +159,7 @@ def platt(score: np.ndarray, good: np.ndarray) -> tuple[float, float]:
         a, c = a - float(step[0]), c - float(step[1])
         if np.abs(step).max() < 1e-8:
             break
-    return max(a, 0.0), c
+    return (a, c) if a > 0 else (0.0, base)
 
 
 def _arrays(b) -> tuple[np.ndarray, np.ndarray]:
@@ -171,26 +183,29 @@ def _pseudo(batches: Iterator[pa.RecordBatch], views: Views, labelled: np.ndarra
                 text += views.products(bins[to_text], 2.0 * cls - 1)
             for k in range(views.metas):
                 meta[k, :, cls] += np.bincount(m[to_meta, k] % HASHED, minlength=HASHED)
-    for view, counts in enumerate((text[:, :, None], meta)):
-        f, v, c = np.nonzero(counts)
-        yield pa.record_batch([pa.array(np.full(len(f), view), pa.int32()), pa.array(f, pa.int32()), pa.array(v, pa.int32()), pa.array(c, pa.int32()), pa.array(counts[f, v, c])], ["view", "f", "v", "c", "n"])
+    sums = np.concatenate([text.reshape(-1), meta.reshape(-1)])
+    place = np.flatnonzero(sums)
+    yield pa.record_batch([pa.array(place), pa.array(sums[place])], ["place", "n"])
 
 
 def train(features: DataFrame, labels: DataFrame) -> Views | None:
     """features: _id, x, m. labels: doc_id, quality."""
     label = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min("quality").alias("q")).orderBy(F.xxhash64("_id"), "_id").limit(LABELLED)
-    seen = features.join(F.broadcast(label), "_id").groupBy("_id").agg(F.first("x").alias("x"), F.first("m").alias("m"), F.first("q").alias("q")).orderBy("_id").collect()  # LABELLED rows at most
+    seen = features.join(F.broadcast(label), "_id").groupBy("_id").agg(F.min(F.struct("x", "m", "q")).alias("r")).select("_id", "r.*").orderBy("_id").collect()  # LABELLED rows at most
     good = np.array([float(r["q"] > 0) for r in seen])
-    if len(seen) < 10 or good.min() == good.max():
+    if not len(seen) or good.min() == good.max():
         return None
     x, m = np.array([r["x"] for r in seen]), np.array([r["m"] for r in seen], np.int64)
     edges = np.quantile(x, QUANTILES, axis=0).T
     ids = np.array([r["_id"] for r in seen], np.int64)
     held = np.arange(len(seen)) % 5 == 4
+    used = ~held
+    if not held.any() or good[held].min() == good[held].max():
+        held[:] = used[:] = True
     views = Views(edges, m.shape[1])
     bins = views.bins(x)
     for cls in (0, 1):
-        own = ~held & (good == cls)
+        own = used & (good == cls)
         views.text += views.products(bins[own], 2.0 * cls - 1)
         for k in range(views.metas):
             views.meta[k, :, cls] += np.bincount(m[own, k] % HASHED, minlength=HASHED)
@@ -200,17 +215,14 @@ def train(features: DataFrame, labels: DataFrame) -> Views | None:
         views.fit()
         scores = views.scores(x[held], m[held])
         views.calibration = [platt(scores[:, k], good[held]) for k in (0, 1)]
-        views.base = float(np.log((good.sum() + 1) / ((1 - good).sum() + 1)))
+        views.base = float(np.log((good[held].sum() + 1) / ((1 - good[held]).sum() + 1)))
 
     refit()
     for _ in range(ROUNDS):
-        sums = features.mapInArrow(lambda it: _pseudo(it, views, ids), "view int, f int, v int, c int, n double").groupBy("view", "f", "v", "c").agg(F.sum("n").alias("n")).collect()
-        views.text, views.meta = known[0].copy(), known[1].copy()
-        for r in sums:
-            if r["view"]:
-                views.meta[r["f"], r["v"], r["c"]] += PSEUDO * r["n"]
-            else:
-                views.text[r["f"], r["v"]] += PSEUDO * r["n"]
+        sums = features.mapInArrow(lambda it: _pseudo(it, views, ids), "place long, n double").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+        flat = np.concatenate([known[0].reshape(-1), known[1].reshape(-1)])
+        flat[sums["place"].to_numpy()] += PSEUDO * sums["n"].to_numpy()
+        views.text, views.meta = flat[: known[0].size].reshape(known[0].shape), flat[known[0].size :].reshape(known[1].shape)
         refit()
     return views
 
