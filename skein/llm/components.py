@@ -1,9 +1,10 @@
-"""Connected components of an edge table by alternating large and small stars.
+"""Connected components of an edge table: bounded local contraction, then alternating large and small stars.
 
-Before the first round every chunk of edges is replaced by a spanning forest of itself (a union-find of bounded size where
-the rows lie), so that what is shuffled has at most a row per node and chunk. Each round deals edges out by node twice,
-takes minima with partial aggregation and keeps the number of edges from growing; rounds grow with the logarithm of the
-nodes. Every round is a written table in the shared folder.
+Contraction: the edges are dealt out in lots of at most CHUNK, and each lot is replaced by a spanning forest of itself (a
+row per node at most). That is repeated while it at least halves the edges; when all edges fit into one lot, its forest is
+the answer. What is left beyond that goes through star rounds, each of which deals edges out by node twice, takes minima
+with partial aggregation and keeps the number of edges from growing; rounds grow with the logarithm of the nodes. Every
+step is a written table in the shared folder.
 """
 
 from __future__ import annotations
@@ -17,65 +18,68 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import stored
 
-#: Edges that a local union-find takes at once.
+#: Edges that are contracted at once.
 CHUNK = 1 << 20
+#: Rows of a batch handed back to Spark.
+ROWS = 20_000
 
 
-class Forest:
-    """Union-find over any ids; the root of a tree is its smallest id."""
-
-    def __init__(self):
-        self.up: dict = {}
-
-    def root(self, x):
-        up = self.up
-        if x not in up:
-            return x
-        path = []
-        while x in up:
-            path.append(x)
-            x = up[x]
-        for y in path:
-            up[y] = x
-        return x
-
-    def join(self, a, b) -> bool:
-        a, b = self.root(a), self.root(b)
-        if a == b:
-            return False
-        if a < b:
-            self.up[b] = a
-        else:
-            self.up[a] = b
-        return True
-
-
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, their components' smallest nodes) of a graph, without the smallest nodes themselves."""
+    ids, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = place[: len(u)], place[len(u) :]
+    up = np.arange(len(ids))
+    while len(a):
+        x, y = up[a], up[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(up, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(up, higher := up[up]):
+            up = higher
+    below = np.flatnonzero(up != np.arange(len(ids)))
+    return ids[below], ids[up[below]]
+
+
+def _forest(batches: Iterator[pa.RecordBatch], chunk: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """Forests of a partition's edges; a forest is contracted again with the edges after it, so a partition gives few more rows than it has nodes."""
+
     def close(held):
-        forest = Forest()
-        for b in held:
-            for u, v in zip(b["u"].to_pylist(), b["v"].to_pylist(), strict=True):
-                forest.join(u, v)
-        nodes = np.array(list(forest.up), np.int64)
-        roots = np.array([forest.root(x) for x in forest.up], np.int64)
-        for k in range(0, len(nodes), 20_000):
-            yield pa.record_batch([pa.array(nodes[k : k + 20_000]), pa.array(roots[k : k + 20_000])], ["u", "v"])
+        return forest(*(np.concatenate([x[k] for x in held]) for k in (0, 1)))
 
     held, size = [], 0
     for b in batches:
-        held.append(b)
+        held.append((b["u"].to_numpy(), b["v"].to_numpy()))
         size += len(b)
-        if size >= CHUNK:
-            yield from close(held)
-            held, size = [], 0
-    yield from close(held)
+        if size >= chunk:
+            held = [close(held)]
+            size = len(held[0][0])
+            if size > chunk // 2:
+                yield from _rows(*held.pop())
+                size = 0
+    if held:
+        yield from _rows(*close(held))
+
 
+def _rows(u: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(u), ROWS):
+        yield pa.record_batch([pa.array(u[k : k + ROWS]), pa.array(v[k : k + ROWS])], ["u", "v"])
 
-def components(edges: DataFrame) -> DataFrame:
+
+def components(edges: DataFrame, chunk: int | None = None) -> DataFrame:
     """(node, component) for every node of the edges (u, v); component is its smallest node."""
-    work = stored(edges.select("u", "v").filter("u != v").mapInArrow(_forest, "u long, v long"), "edges")
+    chunk = chunk or CHUNK
+    work = stored(edges.select("u", "v").filter("u != v").mapInArrow(lambda it: _forest(it, chunk), "u long, v long"), "edges")
+    size = work.count()
+    while size:
+        lots = -(-size // chunk)
+        work = stored(work.repartition(lots).mapInArrow(lambda it: _forest(it, 2 * chunk), "u long, v long"), "forest")
+        if lots == 1:
+            return _named(work)
+        before, size = size, work.count()
+        if 2 * size > before:
+            break
     before = None
-    while True:
+    while size:
         # large star: the larger neighbours of a node go to its smallest
         both = work.select("u", "v").union(work.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
@@ -89,4 +93,8 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
+    return _named(work)
+
+
+def _named(work: DataFrame) -> DataFrame:
     return work.select(F.col("u").alias("node"), F.col("v").alias("component")).union(work.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -10,22 +10,27 @@ one that parts of a single frequent n-gram don't crowd: a key is a level, a part
    copies or near copies of any size sends one entry a key and chunk. Keys are dealt out as packed blocks; of each key the
    entries form a star. The stars' components are coarse groups: no pair above t spans two of them.
 2. Search. In each coarse group an inverted index is built and every document is a query: the required overlap T follows
-   from the sizes, the L longest of its lists are set aside, the short ones are merged by a heap (very many postings: by a
-   sort), ids found at least T-L times are probed in the long lists by binary search, and those reaching T are links.
-   A query skips ids that it is connected with already.
+   from the sizes, the L longest of its lists are set aside, the short ones are merged by a heap, ids found at least T-L
+   times are probed in the long lists by binary search, and those reaching T are links. When the heap's least id can't
+   reach T-L, or is connected with the query already, the lists jump by binary search to the next id that may matter; runs
+   of connected ids are remembered, so a large group of near copies costs a few jumps a query, not a visit of each pair.
 3. Groups over POSTINGS are searched in blocks: first all documents against one block, each slice of queries with its own
    copy of it; then only documents outside the largest component so far, against all blocks.
-4. The links' components, by way of equal sets, give component_id.
+4. The links' components, by way of equal sets and equal ids, give component_id.
 
+An n-gram is known by a hash of 64 bits and a set by two sums of such hashes and its size; texts are not compared again.
 Defined results: null text counts as empty; a text of fewer words than n is one shingle, without words it has none and is
-linked with nothing; rows of equal id are one document; a null id gets a null component; other columns are not looked at.
+linked with nothing; rows of equal id are one document, linked with all that any of its texts is linked with; a null id
+gets a null component; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
+from array import array
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +38,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import NULL_ID, id_text, mix64, real_id, shingle_sets, small_batches, stored, table, utf8_buffer
-from skein.llm.components import Forest, components
+from skein.llm.components import _forest, components
 
 #: Documents of a chunk in step 1 (by bytes of text), n-grams of an index block, parts beyond D+1 as a share of D.
 CHUNK_BYTES, POSTINGS, SPARE = 12 << 20, 2_000_000, 0.3
-#: DivideSkip's weight of a probe against a merge step, and postings up to which a heap merges.
-MU, HEAP = 0.01, 4096
+#: DivideSkip's weight of a probe against a merge step.
+MU = 0.01
 _U = np.uint64
 
 
@@ -175,14 +180,13 @@ def _edges(batches):
         if keys:
             edges = _stars(np.concatenate(keys), np.concatenate(ids))[2]
             if len(edges):
-                yield pa.record_batch([pa.array(np.ascontiguousarray(edges[:, 0])), pa.array(np.ascontiguousarray(edges[:, 1]))], ["u", "v"])
+                yield _pairs(edges)
 
     bucket, keys, ids = None, [], []
     for b in batches:
         for at, k, i, c, e in zip(*[b[n].to_pylist() for n in ("bucket", "keys", "ids", "counts", "edges")], strict=True):
             if e:
-                pairs = np.frombuffer(e, np.int64).reshape(-1, 2)
-                yield pa.record_batch([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["u", "v"])
+                yield _pairs(np.frombuffer(e, np.int64).reshape(-1, 2))
                 continue
             if at != bucket:
                 yield from close(keys, ids)
@@ -193,6 +197,10 @@ def _edges(batches):
     yield from close(keys, ids)
 
 
+def _pairs(edges: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(np.ascontiguousarray(edges[:, k])) for k in (0, 1)], ["u", "v"])
+
+
 class Index:
     """Inverted lists of a block of sets."""
 
@@ -206,92 +214,123 @@ class Index:
         self.grams = flat[new]
         self.begin = np.append(np.flatnonzero(new), len(flat))
         self.posting = (np.cumsum(new) - 1) * len(sets) + self.doc  # ascending: list, then document
+        self.ids, self.at = array("q", self.doc.tobytes()), self.begin.tolist()
 
     def required(self, a: int, b):
         return -(-self.num * (a + b) // (self.num + self.den))
 
-    def search(self, query: np.ndarray, allowed) -> list[int]:
-        """Documents whose similarity to the query reaches num/den. allowed(docs) -> mask of those still wanted."""
+    def search(self, query: np.ndarray, wanted: Callable[[int], int]) -> Iterator[int]:
+        """Documents whose similarity to the query reaches num/den, ascending. wanted(doc): the least document from doc on that is still of interest; it is asked again after each result."""
         place = np.searchsorted(self.grams, query)
         place = np.minimum(place, len(self.grams) - 1)
         lists = place[self.grams[place] == query]
         n = len(query)
         least = self.required(n, -(-self.num * n // self.den))
         if len(lists) < least:
-            return []
+            return
         lengths = self.begin[lists + 1] - self.begin[lists]
-        order = np.argsort(lengths, kind="stable")
-        lists, lengths = lists[order], lengths[order]
-        long = min(least - 1, int(least / (MU * math.log2(int(lengths[-1]) + 1) + 1)))
-        short, long_lists = lists[: len(lists) - long], lists[len(lists) - long :]
-        found, times = self._merge(short, int(lengths[: len(short)].sum()), least - long)
-        if not len(found):
-            return []
-        need = self.required(n, self.size[found])
-        fits = (self.size[found] * self.den >= self.num * n) & (n * self.den >= self.num * self.size[found]) & (times + long >= need)
-        fits &= allowed(found)
-        out = []
-        for doc, have, want in zip(found[fits].tolist(), times[fits].tolist(), need[fits].tolist(), strict=True):
-            if have < want and long:
-                probe = long_lists * self.docs + doc
+        lists = lists[np.argsort(lengths, kind="stable")]
+        long = min(least - 1, int(least / (MU * math.log2(int(lengths.max()) + 1) + 1)))
+        short, long_lists = lists[: len(lists) - long], lists[len(lists) - long :] * self.docs
+        for doc, times in self._merge(short, least - long, wanted):
+            size = int(self.size[doc])
+            need = self.required(n, size)
+            if size * self.den < self.num * n or n * self.den < self.num * size or times + long < need:
+                continue
+            if times < need:
+                probe = long_lists + doc
                 where = np.minimum(np.searchsorted(self.posting, probe), len(self.posting) - 1)
-                have += int((self.posting[where] == probe).sum())
-            if have >= want:
-                out.append(doc)
-        return out
-
-    def _merge(self, lists: np.ndarray, total: int, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-        """Documents that occur in at least threshold of the lists, and how often."""
-        pieces = [self.doc[self.begin[k] : self.begin[k + 1]] for k in lists.tolist()]
-        if total > HEAP:
-            docs, times = np.unique(np.concatenate(pieces), return_counts=True)
-            keep = times >= threshold
-            return docs[keep], times[keep]
-        pieces = [p.tolist() for p in pieces]
-        heap = [(p[0], k, 0) for k, p in enumerate(pieces)]
-        heapq.heapify(heap)
-        docs, times = [], []
+                times += np.count_nonzero(self.posting[where] == probe)
+            if times >= need:
+                yield doc
+
+    def _merge(self, lists: np.ndarray, threshold: int, wanted: Callable[[int], int]) -> Iterator[tuple[int, int]]:
+        """Wanted documents that occur in at least threshold of the lists, and how often, ascending."""
+        ids, push, pop = self.ids, heapq.heappush, heapq.heappop
+        first, end = wanted(0), self.docs
+        heap: list[tuple[int, int, int]] = []  # document, its place, the list's end
+
+        def move(place: int, stop: int, to: int):
+            place = bisect_left(ids, to, place, stop)
+            if place < stop:
+                push(heap, (ids[place], place, stop))
+
+        for k in lists.tolist():
+            move(self.at[k], self.at[k + 1], first)
         while len(heap) >= threshold:
-            doc, popped = heap[0][0], []
-            while heap and heap[0][0] == doc:
-                popped.append(heapq.heappop(heap))
-            if len(popped) >= threshold:
-                docs.append(doc)
-                times.append(len(popped))
-            else:  # MergeSkip: drop as many as can't matter, then jump to the next possible document
-                while len(popped) < threshold - 1 and heap:
-                    popped.append(heapq.heappop(heap))
-                doc = heap[0][0] - 1 if heap else doc
-            for _, k, at in popped:
-                p = pieces[k]
-                while at < len(p) and p[at] <= doc:
-                    at += 1
-                if at < len(p):
-                    heapq.heappush(heap, (p[at], k, at))
-        return np.array(docs, np.int64), np.array(times, np.int64)
+            doc = heap[0][0]
+            to = wanted(doc)
+            if to >= end:
+                return
+            popped = []
+            if to > doc:  # all lists that stand before it jump there
+                while heap and heap[0][0] < to:
+                    popped.append(pop(heap))
+            else:
+                while heap and heap[0][0] == doc:
+                    popped.append(pop(heap))
+                to = doc + 1
+                if len(popped) >= threshold:
+                    yield doc, len(popped)
+                else:  # MergeSkip: drop as many as can't matter, then jump to the next possible document
+                    while len(popped) < threshold - 1 and heap:
+                        popped.append(pop(heap))
+                    to = max(to, heap[0][0]) if heap else end
+            for _, place, stop in popped:
+                move(place, stop, to)
+
+
+class Connected:
+    """Union-find over an index's documents and one query at a time; by runs it finds the next document not connected with another."""
+
+    def __init__(self, labels: list):
+        number = {x: k for k, x in enumerate(dict.fromkeys(labels))}
+        self.number, self.up = number, list(range(len(number)))
+        self.of = [number[x] for x in labels]
+        self.after = list(range(1, len(labels) + 1))  # all documents before after[d], from d on, are connected with d
+
+    def add(self, label) -> int:
+        if label not in self.number:
+            self.number[label] = len(self.up)
+            self.up.append(len(self.up))
+        return self.number[label]
+
+    def root(self, x: int) -> int:
+        up = self.up
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    def join(self, a: int, b: int) -> None:
+        a, b = self.root(a), self.root(b)
+        self.up[max(a, b)] = min(a, b)
+
+    def next(self, doc: int, mine: int, end: int) -> int:
+        """The least document from doc on, below end, that is not connected with mine; else the number of documents."""
+        mine, of, after, run = self.root(mine), self.of, self.after, []
+        while doc < end and self.root(of[doc]) == mine:
+            run.append(doc)
+            doc = after[doc]
+        for d in run:
+            after[d] = doc
+        return doc if doc < end else len(of)
 
 
 def _search(batches, width: int, num: int, den: int):
     """Rows come sorted by (grp, slice, role): 0 indexed and asked, 1 indexed, 2 asked. label: ids of one label are connected already."""
     out: list[tuple[int, int]] = []
-    key, ids, sets, labels, roles, index, forest = None, [], [], [], [], None, Forest()
+    key, ids, sets, labels, roles, index, same = None, [], [], [], [], None, None
 
     def build():
-        nonlocal index
-        index = Index(sets, num, den)
+        nonlocal index, same
+        index, same = Index(sets, num, den), Connected(labels)
 
     def ask(query, me, label, before):
-        known = np.array([forest.root(x) for x in labels], np.int64) if len(labels) <= 64 else None
-
-        def allowed(docs):
-            mine = forest.root(label)
-            if known is not None:
-                return (docs < before) & (known[docs] != mine)
-            return np.array([d < before and forest.root(labels[d]) != mine for d in docs.tolist()], bool)
-
-        for doc in index.search(query, allowed):
+        mine = same.add(label)
+        for doc in index.search(query, lambda doc: same.next(doc, mine, before)):
             out.append((me, ids[doc]))
-            forest.join(label, labels[doc])
+            same.join(mine, same.of[doc])
 
     def close():
         """Asks the rows that are both, once all are in the index."""
@@ -306,7 +345,7 @@ def _search(batches, width: int, num: int, den: int):
         for k, (grp, part, role, doc, label) in enumerate(zip(*[b[c].to_pylist() for c in ("grp", "slice", "role", "_id", "label")], strict=True)):
             if (grp, part) != key:
                 close()
-                key, ids, sets, labels, roles, index, forest = (grp, part), [], [], [], [], None, Forest()
+                key, ids, sets, labels, roles, index, same = (grp, part), [], [], [], [], None, None
             grams = flat[at[k] : at[k + 1]]
             if role == 2:
                 if index is None and sets:
@@ -333,18 +372,20 @@ def jaccard_components(df: DataFrame, width: int = 5, num: int = 80, den: int =
     docs = id_text(df, id_col, text_col)
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     members = stored(docs.mapInArrow(lambda it: _members(it, width), "id long, n long, head long, h1 long, h2 long"), "sets")
-    # 1: equal sets, then coarse groups
-    heads = members.filter(f"id = head and n > 0 and id != {NULL_ID}").select("id", "n", "h1", "h2").distinct()
+    # 1: equal sets and equal ids, then coarse groups
+    real = members.filter(f"n > 0 and id != {NULL_ID}")
+    heads = real.filter("id = head").select("id", "n", "h1", "h2").distinct()
     equal = heads.groupBy("n", "h1", "h2").agg(F.min("id").alias("first"))
-    firsts = stored(heads.join(equal, ["n", "h1", "h2"]).groupBy("id").agg(F.min("first").alias("first"), F.max("first").alias("other"), F.max("n").alias("n")), "first")
+    firsts = stored(heads.join(equal, ["n", "h1", "h2"]).select("id", "first", "n"), "first")
+    several = real.groupBy("id").agg(F.min("head").alias("a"), F.max("head").alias("b")).filter("a != b").select("id")
+    ties = firsts.filter("id != first").select(F.col("id").alias("u"), F.col("first").alias("v")).union(real.join(several, "id").filter("id != head").select(F.col("id").alias("u"), F.col("head").alias("v")))
+    ties = stored(ties.distinct(), "ties")
     signs = docs.mapInArrow(lambda it: _signatures(it, width, num, den, buckets), "bucket int, keys binary, ids binary, counts binary, edges binary")
-    stars = stored(signs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_edges, "u long, v long"), "stars")
-    one = firsts.select("id", "first")
-    stars = stars.join(one.select(F.col("id").alias("u"), F.col("first").alias("a")), "u").join(one.select(F.col("id").alias("v"), F.col("first").alias("b")), "v").filter("a != b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
-    coarse = components(stars)
-    # 2 and 3: the search in each group
-    nodes = coarse.join(firsts.filter("id = first").select(F.col("id").alias("node"), "n"), "node")
-    sizes = nodes.groupBy("component").agg(F.sum("n").alias("total")).withColumn("blocks", F.ceil(F.col("total") / POSTINGS).cast("int"))
+    stars = stored(signs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _forest(_edges(it)), "u long, v long"), "stars")
+    coarse = components(stars.union(ties))
+    # 2 and 3: the search in each group of two or more different sets
+    nodes = coarse.join(firsts.filter("id = first").groupBy(F.col("id").alias("node")).agg(F.sum("n").alias("n")), "node")
+    sizes = nodes.groupBy("component").agg(F.sum("n").alias("total"), F.count("*").alias("sets")).filter("sets > 1").withColumn("blocks", F.ceil(F.col("total") / POSTINGS).cast("int"))
     placed = nodes.join(sizes, "component").select(F.col("component").alias("grp"), F.col("node").alias("_id"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     placed = stored(docs.join(placed, "_id").select("grp", "blocks", "block", "_id", "_text"), "groups")
 
@@ -370,10 +411,8 @@ def jaccard_components(df: DataFrame, width: int = 5, num: int = 80, den: int =
         if not rest.isEmpty():
             links = links.union(search(indexed.union(rest)))
     # 4: back to all rows
-    twice = firsts.filter("first != other").select(F.col("first").alias("u"), F.col("other").alias("v"))
-    final = components(links.union(twice))
-    named = firsts.join(final.withColumnRenamed("node", "first"), "first", "left").select(F.col("id").alias("head"), F.coalesce("component", "first").alias("component"))
-    return members.join(named, "head", "left").select(real_id("id").alias("doc_id"), F.col("n").alias("n_shingles"), real_id(F.coalesce("component", "id")).alias("component_id"))
+    final = components(links.union(ties)).withColumnRenamed("node", "head")
+    return members.join(final, "head", "left").select(real_id("id").alias("doc_id"), F.col("n").alias("n_shingles"), real_id(F.when(F.col("n") > 0, F.coalesce("component", "head")).otherwise(F.col("id"))).alias("component_id"))
 
 
 def one_of_each(df: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -90,29 +90,75 @@ def at_the_bound(rng, num, den):
     return [np.array(sorted(s), np.uint64) for s in sets]
 
 
-@pytest.mark.parametrize("heap", [0, 1 << 60])
 @pytest.mark.parametrize("num", [50, 80, 90])
-def test_search_finds_all_at_the_bound(heap, num, monkeypatch):
-    monkeypatch.setattr(J, "HEAP", heap)
+def test_search_finds_all_at_the_bound(num):
     sets = at_the_bound(random.Random(num), num, 100)
     index = J.Index(sets, num, 100)
     plain = [set(s.tolist()) for s in sets]
     links = 0
     for q, a in enumerate(plain):
         want = [d for d, b in enumerate(plain) if 100 * len(a & b) >= num * len(a | b)]
-        assert sorted(index.search(sets[q], lambda docs: docs >= 0)) == want
+        assert list(index.search(sets[q], lambda doc: doc)) == want
         links += len(want) - 1
     assert links >= 3 * 6
 
 
-@pytest.mark.parametrize("heap", [0, 1 << 60])
-def test_merge_counts_every_list(heap, monkeypatch):
-    monkeypatch.setattr(J, "HEAP", heap)
+def test_merge_counts_every_list():
     rng = random.Random(5)
     for _ in range(300):
         lists = [sorted(rng.sample(range(12), rng.randrange(1, 7))) for _ in range(rng.randrange(1, 9))]
         sets = [np.array([k for k, p in enumerate(lists) if d in p], np.uint64) for d in range(12)]
         index = J.Index(sets, 50, 100)
         for threshold in range(1, len(lists) + 1):
-            docs, times = index._merge(np.arange(len(lists)), sum(map(len, lists)), threshold)
-            assert dict(zip(docs.tolist(), times.tolist(), strict=True)) == {d: len(s) for d, s in enumerate(sets) if len(s) >= threshold}
+            assert dict(index._merge(np.arange(len(lists)), threshold, lambda doc: doc)) == {d: len(s) for d, s in enumerate(sets) if len(s) >= threshold}
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(1, a), (5, a), (5, b), (2, b), (7, b + " more"), (8, c), (8, d), (9, c + " x"), (3, d + " y"), (4, "alone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 10):
+        got = sorted({(r.doc_id, r.component_id) for r in J.jaccard_components(df.repartition(parts)).collect()})
+        assert got == [(1, 1), (2, 1), (3, 3), (4, 4), (5, 1), (7, 1), (8, 3), (9, 3)]
+
+
+def test_connected_documents_are_skipped_not_lost():
+    """Searching on from what is connected finds the same components as searching all, and far fewer links."""
+    rng = random.Random(11)
+    sets = []
+    for base in range(4):
+        common = [base * 1000 + k for k in range(100)]
+        sets += [np.array(sorted(rng.sample(common, 96)), np.uint64) for _ in range(60)]
+    rng.shuffle(sets)
+    index, same, links = J.Index(sets, 80, 100), J.Connected(list(range(len(sets)))), 0
+    for q in range(len(sets)):
+        for doc in index.search(sets[q], lambda doc: same.next(doc, same.of[q], q)):
+            same.join(q, doc)
+            links += 1
+    roots = defaultdict(set)
+    for q, s in enumerate(sets):
+        roots[int(s[0]) // 1000].add(same.root(q))
+    assert all(len(r) == 1 for r in roots.values()) and links == len(sets) - 4
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 50, 10**6])
+def test_components_of_any_graph(spark, chunk):
+    from skein.llm.components import components, forest
+
+    rng = random.Random(chunk)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + k, 1001 + k) for k in range(60)] + [(2000, 2001 + k) for k in range(40)] + [(-5, 3), (2020, 2020)]
+    up = {x: x for e in edges for x in e}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    want = {x: root(x) for x in {y for e in edges for y in e if e[0] != e[1]}}
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long").repartition(4), chunk).collect()}
+    assert got == want
+    nodes, tops = forest(*np.array(edges).T)
+    assert dict(zip(nodes.tolist(), tops.tolist(), strict=True)) == {x: r for x, r in want.items() if x != r}
