@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -161,8 +162,33 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
     return placed_hashes(data, offsets, lower)[:2]
 
 
+def runs(offsets: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """The items whose n+1 offsets are given, in runs (first, end) that span at most size; an item that is longer is a run by itself."""
+    a, n = 0, len(offsets) - 1
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + size, "right")) - 1)
+        yield a, b
+        a = b
+
+
+def owners(at: np.ndarray, a: int, b: int) -> np.ndarray:
+    """The documents of the places a to b, of which at has the n+1 offsets."""
+    first, last = int(np.searchsorted(at, a, "right")) - 1, int(np.searchsorted(at, b - 1, "right"))
+    ends = np.clip(at[first : last + 1], a, b)
+    return np.repeat(np.arange(first, last, dtype=np.int32), np.diff(ends))
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's sorted distinct hashes of its shingles of so many words, flat, and n+1 offsets. A text of fewer words is one shingle; without words it has none."""
+    """Each text's sorted distinct hashes of its shingles of so many words, flat, and n+1 offsets. A text of fewer words is one shingle; without words it has none. Works through runs of texts of SLICE bytes."""
+    flat, sizes = [np.empty(0, np.uint64)], [np.zeros(1, np.int64)]
+    for a, b in runs(offsets, SLICE):
+        found, at = _run_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
+        flat.append(found)
+        sizes.append(np.diff(at))
+    return np.concatenate(flat), np.cumsum(np.concatenate(sizes))
+
+
+def _run_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     words, at = word_hashes(data, offsets)
     n = len(offsets) - 1
     count = np.diff(at)

@@ -37,11 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import NULL_ID, id_text, mix64, real_id, shingle_sets, small_batches, stored, table, utf8_buffer
+from skein.llm.common import NULL_ID, id_text, mix64, real_id, runs, shingle_sets, small_batches, stored, table, utf8_buffer
 from skein.llm.components import _forest, components
 
 #: Documents of a chunk in step 1 (by bytes of text), n-grams of an index block, parts beyond D+1 as a share of D.
 CHUNK_BYTES, POSTINGS, SPARE = 12 << 20, 2_000_000, 0.3
+#: N-grams that are worked on at once.
+GRAMS = 1 << 17
 #: DivideSkip's weight of a probe against a merge step.
 MU = 0.01
 _U = np.uint64
@@ -96,11 +98,12 @@ def _chunks(batches: Iterator[pa.RecordBatch], width: int):
         ids = part["_id"].to_numpy()
         flat, at = shingle_sets(*utf8_buffer(part["_text"]), width)
         size = np.diff(at)
-        sums = []
-        for salt in (1, 2):
-            with np.errstate(over="ignore"):
-                mixed = np.concatenate([mix64(flat * _U(2 * salt + 1) + _U(salt)), np.zeros(1, np.uint64)])
-                sums.append(np.where(size > 0, np.add.reduceat(mixed, at[:-1]), _U(0)) if len(size) else np.empty(0, np.uint64))
+        sums = [np.zeros(len(size), np.uint64) for _ in range(2)]
+        for a, b in runs(at, GRAMS):
+            there = a + np.flatnonzero(size[a:b])
+            for salt in (1, 2) if len(there) else ():
+                with np.errstate(over="ignore"):
+                    sums[salt - 1][there] = np.add.reduceat(mix64(flat[at[a] : at[b]] * _U(2 * salt + 1) + _U(salt)), at[there] - at[a])
         order = np.lexsort((ids, sums[1], sums[0], size))
         same = np.ones(len(ids), bool)
         if len(ids):
@@ -144,9 +147,12 @@ def _signatures(batches, width: int, num: int, den: int, buckets: int):
             continue
         size = np.diff(at)[use]
         ends = np.concatenate([[0], np.cumsum(size)])
-        pick = np.arange(ends[-1]) + np.repeat(at[use] - ends[:-1], size)
-        keys, doc = signature_keys(flat[pick], ends, num, den)
-        keys, owner, edges = _stars(keys, ids[use][doc])
+        found = []
+        for a, b in runs(ends, GRAMS):
+            pick = np.arange(ends[b] - ends[a]) + np.repeat(at[use[a:b]] - ends[a:b] + ends[a], size[a:b])
+            key, doc = signature_keys(flat[pick], ends[a : b + 1] - ends[a], num, den)
+            found.append((key, ids[use[a:b]][doc]))
+        keys, owner, edges = _stars(*(np.concatenate([x[k] for x in found]) for k in (0, 1)))
         bucket = ((keys >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int32)
         order = np.lexsort((owner, bucket))
         keys, owner, bucket = keys[order], owner[order], bucket[order]

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import LOWER, NULL_ID, SLICE, mix64, real_id, small_batches, stored, table, utf8_buffer, word_hashes
+from skein.llm.common import LOWER, NULL_ID, SLICE, mix64, owners, real_id, small_batches, stored, table, utf8_buffer, word_hashes
 
 #: Rows of each declared language that the text model is fitted on, at most; hashed features of each kind.
 SAMPLE, FEATURES = 1000, 1 << 15
@@ -33,13 +33,6 @@ SAMPLE, FEATURES = 1000, 1 << 15
 STRENGTH, SUFFIXES, CONFIDENT = 20.0, 1024, 0.5
 
 
-def _owners(at: np.ndarray, a: int, b: int) -> np.ndarray:
-    """The documents of the places a to b, of which at has the n+1 offsets."""
-    first, last = int(np.searchsorted(at, a, "right")) - 1, int(np.searchsorted(at, b - 1, "right"))
-    ends = np.clip(at[first : last + 1], a, b)
-    return np.repeat(np.arange(first, last, dtype=np.int32), np.diff(ends))
-
-
 def text_features(col: pa.Array) -> tuple[np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]:
     """Words of each document; (features, their documents) of at most SLICE words or byte trigrams at a time, so that arrays stay small whatever the texts' lengths."""
     data, offsets = utf8_buffer(col)
@@ -48,7 +41,7 @@ def text_features(col: pa.Array) -> tuple[np.ndarray, Iterator[tuple[np.ndarray,
     def slices():
         for a in range(0, len(words), SLICE):
             part = words[a : a + SLICE]
-            yield (part >> np.uint64(49)).astype(np.int32), _owners(at, a, a + len(part))
+            yield (part >> np.uint64(49)).astype(np.int32), owners(at, a, a + len(part))
         for a in range(0, len(data) - 2, SLICE):
             low = LOWER[data[a : a + SLICE + 2]].astype(np.uint32)
             tri = (low[:-2] << np.uint32(16)) | (low[1:-1] << np.uint32(8)) | low[2:]
@@ -57,7 +50,7 @@ def text_features(col: pa.Array) -> tuple[np.ndarray, Iterator[tuple[np.ndarray,
             for back in (1, 2):  # no trigram goes on into the next text
                 place = ends - back
                 inside[place[(place >= 0) & (place < len(tri))]] = False
-            doc = _owners(offsets, a, a + len(tri))
+            doc = owners(offsets, a, a + len(tri))
             yield FEATURES + (mix64(tri[inside].astype(np.uint64)) >> np.uint64(49)).astype(np.int32), doc[inside]
 
     return np.diff(at), slices()

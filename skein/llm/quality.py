@@ -7,12 +7,10 @@ size, never a collected set.
 1. Text features of every row (shares of kinds of characters, word lengths, repetition, lines) and metadata (source, lang,
    length) are computed once and stored, some dozens of numbers a row.
 2. At most LABELLED labelled rows are looked up (those with the least hashed ids). Their quantiles give the bins; four of
-   five rows count, the fifth is for calibration.
-   Where those held back are not of both kinds (few labels), all count and all calibrate.
+   five rows count, the fifth is for calibration. Where those held back are not of both kinds (few labels), all do both.
 3. In each of ROUNDS rounds every unlabelled row that one view is sure of (SURE) counts for the other view under that label.
-4. Each view's score is calibrated on the rows held back (Platt), so a view that knows nothing, or runs against the labels, stays at the
-   base rate; the
-   calibrated log-odds add up, less the base rate's.
+4. Each view's score is calibrated on the rows held back (Platt), so a view that knows nothing, or runs against the labels,
+   stays at the base rate; the calibrated log-odds add up, less the base rate's.
 
 Defined results: null text counts as empty, null metadata is a value of its own, rows of equal id share their label (the
 lesser of two), repeated rows are scored each, without labels of both kinds every row is kept with score null.
@@ -28,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import NULL_ID, SLICE, real_id, small_batches, stored, table, utf8_buffer, word_hashes
+from skein.llm.common import NULL_ID, SLICE, owners, real_id, runs, small_batches, stored, table, utf8_buffer, word_hashes
 
 LABELLED, ROUNDS, SURE = 20_000, 3, 0.97
 #: Quantiles at which bins begin; close to each other at the ends, where junk is.
@@ -39,7 +37,7 @@ PSEUDO, HASHED = 0.25, 1024
 #: Rows are kept from this probability of good quality on.
 KEEP = 0.5
 
-_KIND = np.zeros(256, np.int64)  # 0 other, 1 lower, 2 upper, 3 digit, 4 space, 5 sentence marks, 6 symbols, 7 bars
+_KIND = np.zeros(256, np.int32)  # 0 other, 1 lower, 2 upper, 3 digit, 4 space, 5 sentence marks, 6 symbols, 7 bars
 for _c in range(256):
     _s = chr(_c)
     _KIND[_c] = 1 if _s.islower() and _c < 128 or _c >= 128 else 2 if "A" <= _s <= "Z" else 3 if "0" <= _s <= "9" else 5 if _s in ".,;:'\"-" else 7 if _s == "|" else 4 if _c in (9, 10, 11, 12, 13, 32) else 6
@@ -49,12 +47,8 @@ TEXT = ["lower", "upper", "digit", "space", "marks", "symbols", "bars", "word_le
 def text_features(col: pa.Array) -> np.ndarray:
     """(rows, features): see TEXT. Works through runs of texts of about SLICE bytes; of a longer text only the words' hashes are held at once."""
     data, offsets = utf8_buffer(col)
-    out, a = [np.zeros((0, len(TEXT)))], 0
-    while a < len(col):
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + SLICE, "right")) - 1)
-        out.append(_run_features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
-        a = b
-    return np.concatenate(out)
+    out = [_run_features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in runs(offsets, SLICE)]
+    return np.concatenate([np.zeros((0, len(TEXT))), *out])
 
 
 def _run_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -62,8 +56,8 @@ def _run_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     kinds, lines = np.zeros(8 * n), np.ones(n)
     for a in range(0, len(data), SLICE):
         part = data[a : a + SLICE]
-        doc = np.searchsorted(offsets, np.arange(a, a + len(part)), "right") - 1 if n > 1 else np.zeros(len(part), np.int64)
-        kinds += np.bincount(doc * 8 + _KIND[part], minlength=8 * n)
+        doc = owners(offsets, a, a + len(part))
+        kinds += np.bincount(doc * np.int32(8) + _KIND[part], minlength=8 * n)
         lines += np.bincount(doc[part == 10], minlength=n)
     kinds = kinds.reshape(n, 8)
     share = kinds[:, 1:] / np.maximum(size, 1)[:, None]
