@@ -1,12 +1,14 @@
 """Jaccard self-join of documents on word n-gram sets, by T-occurrence search (DivideSkip).
 
-Two sets with similarity of at least t differ in at most D = floor(2 b (1-t)/(1+t)) elements, b being the largest size
-that meets at a level. The n-grams are dealt by hash into D+1+s parts, so such sets agree in s+1 whole parts at least. Each
-set leaves out its s smallest parts (by size, then hash); the largest part that two sets agree in has s others below it in
-either set and so is left out by neither. That gives an exact way to bring possible partners together without pairs, and
-one that parts of a single frequent n-gram don't crowd: a key is a level, a part and the sum of the part's hashes.
-
-1. Signatures. Chunks of documents collapse equal sets to the smallest id and equal keys to one entry, so that a group of
+Possible partners are brought together by prefixes: in any order of all n-grams, two sets with similarity of at least t
+share one among the first n - ceil(t n) + 1 of each. The order is by rarity, so prefixes hold what few documents have.
+
+0. Rarity. Chunks of documents send the hashes of COUNTED of their n-grams (each at most twice a chunk, sorted, as packed
+   differences) to buckets by hash; there they are counted. What reaches the driver and is broadcast is a table of CELLS
+   bytes, for each range of hashes the logarithm of the largest count in it; 0 means that no n-gram of the range is in two
+   documents. Its size is fixed: with more n-grams a prefix tells less, and the results stay the same.
+1. Signatures. An n-gram of a document's prefix, with the document's size class or the next, is a key; n-grams that no other
+   document has are left out. Chunks collapse equal sets to the smallest id and equal keys to one entry, so that a group of
    copies or near copies of any size sends one entry a key and chunk. Keys are dealt out as packed blocks; of each key the
    entries form a star. The stars' components are coarse groups: no pair above t spans two of them.
 2. Search. In each coarse group an inverted index is built and every document is a query: the required overlap T follows
@@ -40,8 +42,10 @@ from pyspark.sql import functions as F
 from skein.llm.common import NULL_ID, id_text, mix64, real_id, runs, shingle_sets, small_batches, stored, table, utf8_buffer
 from skein.llm.components import _forest, components
 
-#: Documents of a chunk in step 1 (by bytes of text), n-grams of an index block, parts beyond D+1 as a share of D.
-CHUNK_BYTES, POSTINGS, SPARE = 12 << 20, 2_000_000, 0.3
+#: Bytes of text of a chunk, n-grams of an index block.
+CHUNK_BYTES, POSTINGS = 12 << 20, 2_000_000
+#: Ranges of hashes whose n-grams are counted, as a power of two; bits of a hash that are counted by; the share of hashes that is.
+CELLS, BITS, COUNTED = 24, 40, 0.5
 #: N-grams that are worked on at once.
 GRAMS = 1 << 17
 #: DivideSkip's weight of a probe against a merge step.
@@ -58,36 +62,91 @@ def level_bounds(largest: int, num: int, den: int) -> np.ndarray:
     return np.array([*bounds, max(bounds[-1] + 1, (bounds[-1] - 1) * den // num + 1)], np.int64)
 
 
-def signature_keys(flat: np.ndarray, at: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, document) of the sets' signatures at their own and the next level."""
+def _mixed(flat: np.ndarray) -> np.ndarray:
+    return mix64(flat ^ _U(0x5851F42D4C957F2D))
+
+
+def prefix_keys(flat: np.ndarray, at: np.ndarray, num: int, den: int, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, document) of the sets' prefixes at their own and the next size class; n-grams of one document only are left out."""
     size = np.diff(at)
     doc = np.repeat(np.arange(len(size)), size)
-    mixed = mix64(flat ^ _U(0x5851F42D4C957F2D))
-    spread, low, high = mixed >> _U(32), (flat & _U(0xFFFFFFFF)).astype(np.float64), (flat >> _U(32)).astype(np.float64)
+    mixed = _mixed(flat)
+    # n-grams that aren't counted come last
+    rarity = np.where(_counted(mixed), cells[mixed >> _U(64 - CELLS)], np.uint8(255))
+    order = np.lexsort((rarity.astype(np.uint64) << _U(56) | mixed >> _U(8), doc))
+    place = np.arange(len(flat)) - np.repeat(at[:-1], size)
+    use = order[(place < (size + 1 + -num * size // den)[doc]) & (rarity[order] > 0)]
+    doc, mixed = doc[use], mixed[use]
     bounds = level_bounds(int(size.max(initial=1)), num, den)
-    own = np.searchsorted(bounds, size, "right") - 1
-    keys, docs = [], []
-    for up in (0, 1):
-        level = own + up
-        largest = bounds[np.minimum(level + 1, len(bounds) - 1)] - 1
-        most = 2 * largest * (den - num) // (den + num)
-        spare = 1 + (most * SPARE).astype(np.int64)
-        parts = np.where(size > 0, most + 1 + spare, 0)
-        begin = np.cumsum(parts) - parts
-        part = begin[doc] + ((spread * parts[doc].astype(np.uint64)) >> _U(32)).astype(np.int64)
-        n = int(parts.sum())
-        with np.errstate(over="ignore"):
-            total = np.bincount(part, weights=low, minlength=n).astype(np.uint64) + (np.bincount(part, weights=high, minlength=n).astype(np.uint64) << _U(32))
-            owner = np.repeat(np.arange(len(size)), parts)
-            place = np.arange(n) - begin[owner]
-            filled = np.bincount(part, minlength=n)
-            key = mix64(total * _U(0x9E3779B97F4A7C15) + mix64((level[owner].astype(np.uint64) << _U(32)) + place.astype(np.uint64)) + filled.astype(np.uint64))
-        # all but the smallest `spare` parts: of the parts in which two sets agree the largest is never among them
-        use = np.zeros(n, bool)
-        use[np.lexsort((key, filled, owner))] = place >= spare[owner]
-        keys.append(key[use])
-        docs.append(owner[use])
-    return np.concatenate(keys), np.concatenate(docs)
+    level = (np.searchsorted(bounds, size, "right") - 1)[doc].astype(np.uint64)
+    with np.errstate(over="ignore"):
+        keys = [mix64(mixed + (level + _U(up)) * _U(0x9E3779B97F4A7C15)) for up in (0, 1)]
+    return np.concatenate(keys), np.concatenate([doc, doc])
+
+
+def _counted(mixed: np.ndarray) -> np.ndarray:
+    """By the hash's low bits, which say nothing of its cell."""
+    return (mixed & _U(0xFFFF)) < _U(COUNTED * 0x10000)
+
+
+def _counts(batches, width: int, bits: int):
+    """(bucket, bytes of a number, numbers): a chunk's counted hashes by their first bits, the others as differences."""
+    for ids, flat, at, first, _ in _chunks(batches, width):
+        head = (first == np.arange(len(ids))) & (ids != NULL_ID)
+        found = []
+        for a, b in runs(at, GRAMS):
+            mixed = _mixed(flat[at[a] : at[b]][np.repeat(head[a:b], np.diff(at[a : b + 1]))])
+            found.append((mixed[_counted(mixed)] >> _U(64 - BITS)).astype(np.int64))
+        value = np.sort(np.concatenate(found)) if found else np.empty(0, np.int64)
+        twice = np.ones(len(value), bool)
+        twice[2:] = value[2:] != value[:-2]
+        value = value[twice]
+        begins = np.arange((1 << bits) + 1) << (BITS - bits)
+        cuts = np.searchsorted(value, begins)
+        rows = []
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            steps = np.diff(value[cuts[k] : cuts[k + 1]], prepend=begins[k])
+            size = max(1, (int(steps.max()).bit_length() + 7) // 8)
+            rows.append((k, size, np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()))
+        for k in range(0, len(rows), 500):
+            part = rows[k : k + 500]
+            yield pa.record_batch([pa.array([r[0] for r in part], pa.int32()), pa.array([r[1] for r in part], pa.int32()), pa.array([r[2] for r in part], pa.binary())], ["bucket", "size", "steps"])
+
+
+def _cells(batches, bits: int):
+    """(bucket, cells): for each range of hashes the logarithm of the largest count. Rows come sorted by bucket."""
+
+    def close(bucket, held):
+        value, times = np.unique(np.concatenate(held), return_counts=True)
+        more = times > 1
+        cells = np.zeros(1 << (CELLS - bits), np.uint8)
+        np.maximum.at(cells, value[more] >> (BITS - CELLS), np.minimum(np.log2(times[more]), 254).astype(np.uint8))
+        return pa.record_batch([pa.array([bucket], pa.int32()), pa.array([cells.tobytes()], pa.binary())], ["bucket", "cells"])
+
+    at, held = None, []
+    for b in batches:
+        for bucket, size, steps in zip(*[b[c].to_pylist() for c in ("bucket", "size", "steps")], strict=True):
+            if bucket != at:
+                if held:
+                    yield close(at, held)
+                at, held = bucket, []
+            wide = np.zeros((len(steps) // size, 8), np.uint8)
+            wide[:, :size] = np.frombuffer(steps, np.uint8).reshape(-1, size)
+            held.append(np.cumsum(wide.view("<i8").reshape(-1)))
+    if held:
+        yield close(at, held)
+
+
+def rarity_cells(docs: DataFrame, width: int) -> np.ndarray:
+    """The table of step 0, of fixed size."""
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bits = min(16, max(4, (4 * partitions - 1).bit_length()))
+    counts = docs.mapInArrow(lambda it: _counts(it, width, bits), "bucket int, size int, steps binary")
+    found = counts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _cells(it, bits), "bucket int, cells binary").toArrow()
+    cells = np.zeros((1 << bits, 1 << (CELLS - bits)), np.uint8)
+    for bucket, part in zip(found["bucket"].to_pylist(), found["cells"].to_pylist(), strict=True):
+        cells[bucket] = np.frombuffer(part, np.uint8)
+    return cells.reshape(-1)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], width: int):
@@ -139,7 +198,7 @@ def _stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return keys[new], ids[new], np.unique(np.stack([ids[more], least[more]], axis=1), axis=0) if more.any() else np.empty((0, 2), np.int64)
 
 
-def _signatures(batches, width: int, num: int, den: int, buckets: int):
+def _signatures(batches, width: int, num: int, den: int, buckets: int, cells):
     """Packed (key, id) entries by bucket; the edges within the chunk go along in some bucket."""
     for ids, flat, at, first, _ in _chunks(batches, width):
         use = np.flatnonzero((first == np.arange(len(ids))) & (np.diff(at) > 0) & (ids != NULL_ID))
@@ -150,9 +209,11 @@ def _signatures(batches, width: int, num: int, den: int, buckets: int):
         found = []
         for a, b in runs(ends, GRAMS):
             pick = np.arange(ends[b] - ends[a]) + np.repeat(at[use[a:b]] - ends[a:b] + ends[a], size[a:b])
-            key, doc = signature_keys(flat[pick], ends[a : b + 1] - ends[a], num, den)
+            key, doc = prefix_keys(flat[pick], ends[a : b + 1] - ends[a], num, den, cells.value)
             found.append((key, ids[use[a:b]][doc]))
         keys, owner, edges = _stars(*(np.concatenate([x[k] for x in found]) for k in (0, 1)))
+        if not len(keys):
+            continue
         bucket = ((keys >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int32)
         order = np.lexsort((owner, bucket))
         keys, owner, bucket = keys[order], owner[order], bucket[order]
@@ -386,7 +447,8 @@ def jaccard_components(df: DataFrame, width: int = 5, num: int = 80, den: int =
     several = real.groupBy("id").agg(F.min("head").alias("a"), F.max("head").alias("b")).filter("a != b").select("id")
     ties = firsts.filter("id != first").select(F.col("id").alias("u"), F.col("first").alias("v")).union(real.join(several, "id").filter("id != head").select(F.col("id").alias("u"), F.col("head").alias("v")))
     ties = stored(ties.distinct(), "ties")
-    signs = docs.mapInArrow(lambda it: _signatures(it, width, num, den, buckets), "bucket int, keys binary, ids binary, counts binary, edges binary")
+    cells = spark.sparkContext.broadcast(rarity_cells(docs, width))
+    signs = docs.mapInArrow(lambda it: _signatures(it, width, num, den, buckets, cells), "bucket int, keys binary, ids binary, counts binary, edges binary")
     stars = stored(signs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _forest(_edges(it)), "u long, v long"), "stars")
     coarse = components(stars.union(ties))
     # 2 and 3: the search in each group of two or more different sets
