@@ -134,84 +134,3 @@ def literal_prefix(pattern: str) -> str:
             break
         out += "/" + p
     return out
-
-
-# -- binary differences -----------------------------------------------------------------------------------------------
-
-COPY, LITERAL = 0, 1
-#: Bytes that the index of the old content looks at, and the shortest copied run.
-GRAM, SHORTEST = 4, 8
-
-
-def _agreement(old: bytes, j: int, new: bytes, i: int, n: int) -> int:
-    """Length of the run that old from j and new from i have in common, n of it known: in steps that double, then halve."""
-    most, step = min(len(old) - j, len(new) - i), 16
-    while n < most and old[j + n : j + min(n + step, most)] == new[i + n : i + min(n + step, most)]:
-        n, step = min(n + step, most), 2 * step
-    while step:
-        if n + step <= most and old[j + n : j + n + step] == new[i + n : i + n + step]:
-            n += step
-        step //= 2
-    return n
-
-
-def make_diff(old: bytes, new: bytes) -> list[tuple[int, int, bytes]]:
-    """Segments that make new from old: (COPY, offset in old, length as bytes) or (LITERAL, 0, content)."""
-    index: dict[bytes, list[int]] = {}
-    for i in range(len(old) - GRAM + 1):
-        index.setdefault(old[i : i + GRAM], []).append(i)
-    out, held, i = [], bytearray(), 0
-    while i < len(new):
-        best, where = 0, 0
-        for j in index.get(new[i : i + GRAM], ())[:64]:
-            if best and (i + best >= len(new) or j + best >= len(old) or new[i + best] != old[j + best] or new[i : i + best] != old[j : j + best]):
-                continue  # no longer than the best
-            best, where = _agreement(old, j, new, i, best or GRAM), j
-        if best >= SHORTEST:
-            if held:
-                out.append((LITERAL, 0, bytes(held)))
-                held = bytearray()
-            out.append((COPY, where, best.to_bytes(8, "little")))
-            i += best
-        else:
-            held.append(new[i])
-            i += 1
-    if held:
-        out.append((LITERAL, 0, bytes(held)))
-    return out
-
-
-def diff_bytes(segments: list[tuple[int, int, bytes]]) -> bytes:
-    out = bytearray()
-    for kind, offset, content in segments:
-        out += bytes([kind]) + offset.to_bytes(8, "little") + len(content).to_bytes(8, "little") + content
-    return bytes(out)
-
-
-def diff_segments(data: bytes) -> list[tuple[int, int, bytes]]:
-    out, at = [], 0
-    while at < len(data):
-        kind, offset, n = data[at], int.from_bytes(data[at + 1 : at + 9], "little"), int.from_bytes(data[at + 9 : at + 17], "little")
-        out.append((kind, offset, data[at + 17 : at + 17 + n]))
-        at += 17 + n
-    return out
-
-
-def apply_diff(old: bytes, segments: list[tuple[int, int, bytes]]) -> bytes:
-    return b"".join(old[o : o + int.from_bytes(c, "little")] if kind == COPY else c for kind, o, c in segments)
-
-
-def splice(segments: list[tuple[int, int, bytes]], old: bytes, at: int, length: int, new: bytes) -> list[tuple[int, int, bytes]]:
-    """The difference after replacing length bytes of its result at a place."""
-    now = apply_diff(old, segments)
-    return make_diff(old, now[:at] + new + now[at + length :])
-
-
-@F.pandas_udf(T.BinaryType())
-def create_diff(old: pd.Series, new: pd.Series) -> pd.Series:
-    return pd.Series([diff_bytes(make_diff(bytes(a or b""), bytes(b or b""))) for a, b in zip(old, new, strict=True)])
-
-
-@F.pandas_udf(T.BinaryType())
-def patch(old: pd.Series, diff: pd.Series) -> pd.Series:
-    return pd.Series([apply_diff(bytes(a or b""), diff_segments(bytes(d or b""))) for a, d in zip(old, diff, strict=True)])

@@ -1,49 +1,73 @@
 import random
 import time
 
-from skein.functions import scalars as S
-from skein.plans.catalogue import QUERIES, t
-
-
-def brute(old, new):
-    """The segments by comparing byte by byte."""
-    out, held, i = [], b"", 0
-    while i < len(new):
-        best, where = 0, 0
-        for j in [j for j in range(len(old) - S.GRAM + 1) if old[j : j + S.GRAM] == new[i : i + S.GRAM]][:64]:
-            n = S.GRAM
-            while i + n < len(new) and j + n < len(old) and new[i + n] == old[j + n]:
-                n += 1
-            if n > best:
-                best, where = n, j
-        if best >= S.SHORTEST:
-            out += ([(S.LITERAL, 0, held)] if held else []) + [(S.COPY, where, best.to_bytes(8, "little"))]
-            held, i = b"", i + best
-        else:
-            held, i = held + new[i : i + 1], i + 1
-    return out + ([(S.LITERAL, 0, held)] if held else [])
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from skein.functions.diffs import BLOCK, Diff, difference
+
+TEXTS = st.lists(st.sampled_from([b"the same line again\n", b"0123456789abcdef", b"x", b"", b"alpha beta gamma ", bytes(range(40))]), max_size=20).map(b"".join) | st.binary(max_size=200)
 
 
-def test_segments_equal_those_of_plain_comparison():
+@settings(max_examples=400, deadline=None)
+@given(TEXTS, TEXTS)
+def test_patching_gives_the_new_content(old, new):
+    made = difference(old, new)
+    assert made.content(old) == new and len(made) == len(new)
+    assert Diff.unpack(made.pack()).content(old) == new and str(Diff.unpack(made.pack())) == str(made)
+
+
+def test_edited_texts_are_copied_but_for_the_edits():
     rng = random.Random(3)
-    for k in range(150):
-        old = bytes(rng.choice(b"ab" if k % 2 else b"abcdefgh ") for _ in range(rng.randrange(300)))
-        new = bytearray(old)
-        for _ in range(rng.randrange(5)):
-            at = rng.randrange(len(new) + 1)
-            new[at : at + rng.randrange(4)] = bytes(rng.choice(b"abx") for _ in range(rng.randrange(6)))
-        assert S.make_diff(old, bytes(new)) == brute(old, bytes(new))
-        assert S.apply_diff(old, S.make_diff(old, bytes(new))) == new
+    for _ in range(60):
+        old = bytes(rng.choice(b"abcdefgh ") for _ in range(rng.randrange(500, 4000)))
+        new, changed = bytearray(old), 0
+        for _ in range(rng.randrange(1, 6)):
+            at, n = rng.randrange(len(new) + 1), rng.randrange(6)
+            new[at : at + rng.randrange(4)] = bytes(rng.choice(b"xyz") for _ in range(n))
+            changed += n + 2 * (2 * BLOCK - 1)
+        made = difference(old, bytes(new))
+        assert made.content(old) == bytes(new) and len(made.own) <= changed
 
 
 def test_long_texts():
     old = b"the same line again\n" * 10_000
     new = b"edited " + old[:100_000] + b"!" + old[100_000:]
     began = time.process_time()
-    assert S.apply_diff(old, S.make_diff(old, new)) == new
-    assert time.process_time() - began < 2
+    made = difference(old, new)
+    assert made.content(old) == new and len(made.pack()) < 1000
+    rng = random.Random(5)
+    noise = rng.randbytes(1_000_000)
+    assert difference(noise, rng.randbytes(1_000_000)).content(noise) and len(difference(noise, noise[::-1])) == len(noise)
+    assert time.process_time() - began < 3
 
 
-def test_whole_tables(spark, sf):
-    n = t(spark, sf, "documents").count()
-    assert QUERIES["diff_roundtrip_all"](spark, sf).count() == QUERIES["cat_range_all"](spark, sf).count() == n
+@settings(max_examples=200, deadline=None)
+@given(st.binary(max_size=60), st.lists(st.tuples(st.sampled_from(["splice", "set", "set_byte", "blob"]), st.integers(0, 80), st.integers(0, 20), st.binary(max_size=9)), max_size=8))
+def test_edits_equal_those_of_a_plain_string(old, edits):
+    made, plain, blobs = Diff.unchanged(len(old)), bytearray(old), {}
+    for kind, at, count, content in edits:
+        if at > len(plain):
+            plain += bytes(at - len(plain))
+            count = 0 if kind == "splice" else count
+        if kind == "splice":
+            made.splice(at, count, content)
+            plain[at : at + count] = content
+        elif kind == "set":
+            made.set(at, content)
+            plain[at : at + len(content)] = content
+        elif kind == "set_byte":
+            made.set_byte(at, count)
+            plain[at : at + 1] = bytes([count])
+        else:
+            blobs[name := f"b{count}"] = bytes([count]) * count
+            made.insert_blob(at, name, count)
+            plain[at:at] = blobs[name]
+        assert made.content(old, blobs.get) == plain and len(made) == len(plain)
+    again = Diff.unpack(made.pack())
+    assert again.content(old, blobs.get) == plain
+    for k in range(0, len(plain), 7):
+        assert again.byte(k, old, blobs.get) == plain[k]
+    with pytest.raises(IndexError):
+        again.byte(len(plain), old, blobs.get)

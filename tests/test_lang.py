@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from skein.functions import scalars as S
+from skein.functions.diffs import OLD, Diff, difference
 from skein.plans import lang
 from skein.plans.lang import Clause, Group, parse, tokenize
 from skein.plans.predicates import View, compile_any
@@ -73,18 +74,22 @@ def test_filters_reach_the_scan(spark, sf):
 @settings(max_examples=200, deadline=None)
 @given(st.binary(max_size=60), st.binary(max_size=60), st.integers(0, 40), st.integers(0, 20))
 def test_diffs(a, b, at, n):
-    d = S.make_diff(a, b)
-    assert S.apply_diff(a, d) == b and S.diff_segments(S.diff_bytes(d)) == d
-    assert S.apply_diff(a, S.splice(d, a, at, n, b"zz")) == b[:at] + b"zz" + b[at + n :]
+    d = difference(a, b)
+    assert d.content(a) == b and Diff.unpack(d.pack()).spans == d.spans
+    d.splice(min(at, len(b)), n, b"zz")
+    at = min(at, len(b))
+    assert d.content(a) == b[:at] + b"zz" + b[at + n :]
 
 
 def test_diff_edits():
     old, new = b"the quick brown fox jumps over the lazy dog", b"the quick brown cat jumps over the lazy dog"
-    d = S.make_diff(old, new)
-    assert sum(k == S.COPY for k, _, _ in d) >= 2 and S.apply_diff(old, d) == new
-    x = S.splice(S.make_diff(b"abXYZfgh", b"abXYZfgh"), b"abXYZfgh", 0, 1, b"z")
-    assert S.apply_diff(b"abXYZfgh", x) == b"zbXYZfgh"
-    assert S.apply_diff(b"abXYZfgh", S.splice(x, b"abXYZfgh", 2, 3, b"12")) == b"zb12fgh"
+    d = difference(old, new)
+    assert sum(source == OLD for source, _, _ in d.spans) >= 2 and d.content(old) == new
+    d = difference(b"abXYZfgh", b"abXYZfgh")
+    d.splice(0, 1, b"z")
+    assert d.content(b"abXYZfgh") == b"zbXYZfgh"
+    d.splice(2, 3, b"12")
+    assert d.content(b"abXYZfgh") == b"zb12fgh"
 
 
 def test_patterns():
