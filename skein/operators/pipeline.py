@@ -39,29 +39,44 @@ def exists(nodes: DataFrame, groups: list[Group]) -> int:
 
 
 def match(nodes: DataFrame, groups: list[Group], key: str, hidden: bool = False) -> DataFrame:
-    """The rows that the steps select. Without any step: all rows. Consecutive WHEREs append (UNION ALL); a gate that fails empties the result."""
+    """The rows that the steps select. Without any step: all rows. Consecutive WHEREs append (UNION ALL); a gate that fails empties the result. An ASSERT on paths or on the roots is a gate over rows of its own, which ASSERT FOLLOW and ASSERT REPEATFOLLOW lead on: it holds if any are left."""
     if "_path" in nodes.columns and not hidden and not any(str(c.value).lstrip("/").startswith("perms/") for g in groups for c in g.clauses):
         nodes = nodes.filter(F.col("_path").isNull() | ~((F.col("_path") == "/perms") | F.col("_path").startswith("/perms/")))
     current: DataFrame | None = None
+    side: DataFrame | None = None  # rows of an ASSERT on paths
     run = steps(groups)
     for k, (kind, part) in enumerate(run):
+        stop = run[k + 1][1] if k + 1 < len(run) and run[k + 1][0] == "until" else None
         if kind == "where":
             found = nodes.filter(compile_any(part, View(nodes)))
             current = found if current is None else current.unionAll(found)
+        elif kind == "assert" and any(on_paths(g) for g in part):
+            side = nodes.filter(compile_any(part, View(nodes)))
+        elif kind == "assert_follow" and side is not None:
+            side = graph.follow(side, nodes, part)
+        elif kind == "assert_repeat" and side is not None:
+            side = graph.closure(side, nodes, part, key, stop)
         elif kind == "assert":
-            # a gate over a side set: ASSERT on a path, or on the roots, may itself be followed
-            base = current if current is not None else nodes.filter(compile_any(part, View(nodes)))
-            ok = gate(base, part) if current is not None else False
-            if not ok:
+            if current is None or not gate(current, part):
                 return nodes.filter(F.lit(False))
         elif kind == "follow":
             current = graph.follow(current if current is not None else nodes, nodes, part)
         elif kind == "repeat":
-            stop = run[k + 1][1] if k + 1 < len(run) and run[k + 1][0] == "until" else None
             current = graph.closure(current if current is not None else nodes, nodes, part, key, stop)
+        if side is not None and (k + 1 == len(run) or run[k + 1][0] not in ("assert_follow", "assert_repeat", "until")):
+            if side.isEmpty():
+                return nodes.filter(F.lit(False))
+            side = None
+    if current is None and any(kind.startswith("assert") for kind, _ in run):
+        return nodes.filter(F.lit(False))
     return nodes if current is None else current
 
 
+def on_paths(group: Group) -> bool:
+    """Whether an ASSERT group looks at rows by path or at the roots, not at the rows found so far."""
+    return any(c.op == "path" or c.col == "parent_id" and (c.op == "empty" or c.op == "=" and c.value in ("", None)) for c in group.clauses)
+
+
 def ordered(found: DataFrame, groups: list[Group], key: str, limit: int = 0, page: int = 0) -> DataFrame:
     """By cosine if that is the very first clause, else by key; then the page (pages count from 1). Sort and limit together are one top-k per partition and a merge."""
     first = groups[0].clauses[0] if groups and groups[0].clauses else None
@@ -79,7 +94,7 @@ def ordered(found: DataFrame, groups: list[Group], key: str, limit: int = 0, pag
 
 
 def project(found: DataFrame, columns: list[str]) -> DataFrame:
-    """Columns with suffixes: `c:hash`, `c:blob`, `c[a:b]`; id, name and parent_id come along where there are any."""
+    """Columns with suffixes: `c:hash` (BLAKE2b), `c:sha256`, `c:blob`, `c:diff` (the difference a blob is stored as, if it is), `c[a:b]`; id, name and parent_id come along where there are any."""
     if not columns:
         return found.drop("_score") if "_score" in found.columns else found
     out, taken = [], set()
@@ -95,6 +110,10 @@ def project(found: DataFrame, columns: list[str]) -> DataFrame:
         col = F.col(f"`{base}`")
         if suffix == "hash":
             col = S.blake2b(col)
+        elif suffix == "sha256":
+            col = F.sha2(S.raw(col), 256)
+        elif suffix == "diff" and f"_diff_{base}" in found.columns:
+            col = F.coalesce(F.col(f"`_diff_{base}`"), S.raw(col))
         elif span is not None:
             a, colon, b = span.partition(":")
             start = int(a or 0)

@@ -21,7 +21,7 @@ def conflicts(versions: DataFrame, touched: DataFrame, seq: int) -> DataFrame:
 
 
 def collect_garbage(versions: DataFrame, snapshots: list[int]) -> DataFrame:
-    """What the newest state and the given snapshots need; rows whose newest version is a tombstone that no snapshot sees through go altogether."""
+    """The newest version of each row, be it a tombstone, and those that the given snapshots see."""
     keys = ["_rid", "_seq"]
     kept = versions.groupBy("_rid").agg(F.max("_seq").alias("_seq"))
     for s in snapshots:

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.functions import diffs
 from skein.functions import scalars as S
 from skein.operators import acl, blobs, graph, overlay, pipeline, vector, versions
+from skein.plans import engine_catalogue
 from skein.plans.lang import assert_, follow, or_, repeat_follow, until, where
 from skein.plans.registry import QUERIES, SQL, query
 from skein.sources.tree import geography
 
-__all__ = ["QUERIES", "SQL"]
+__all__ = ["QUERIES", "SQL", "engine_catalogue"]
 
 
 def t(spark, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +39,7 @@ def project_range(spark, sf_dir):
 
 @query("project_hash", "SELECT doc_id, sha256(text) AS text_hash FROM documents")
 def project_hash(spark, sf_dir):
-    return t(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("text_hash"))
+    return pipeline.query(t(spark, sf_dir, "documents"), "READ doc_id text:sha256", "doc_id").withColumnRenamed("text", "text_hash")
 
 
 @query("blake2b_hash")
@@ -181,28 +183,8 @@ on_paths("path_regex", "/*/NATION_(3|4)", "regexp_full_match(path, '/[^/]*/NATIO
 on_paths("path_escape", r"/ASIA/\*", "path = '/ASIA/*'")
 
 
-@query("ls", f"WITH {GEO} SELECT id, name, type FROM geo WHERE parent_id = 'n3'")
-def ls(spark, sf_dir):
-    df = graph.with_paths(geography(spark, sf_dir)).filter("_depth = 2")
-    parent = F.regexp_replace("_path", "/[^/]*$", "")
-    return df.filter(parent.endswith("/NATION_3")).select("id", "name", "type")
-
-
-@query("hidden_perms", "SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F'")
-def hidden_perms(spark, sf_dir):
-    df = t(spark, sf_dir, "orders").withColumn("_path", F.concat(F.when(F.col("o_orderstatus") == "F", "/perms/read/").otherwise("/data/"), F.col("o_orderkey").cast("string")))
-    return pipeline.query(df, "READ o_orderkey WHERE o_orderkey>=0", "o_orderkey")
-
-
-@query("cat_range", "SELECT doc_id, substr(lang || ':' || source, 2, 4) AS part FROM documents WHERE n_chars > 1000")
+@query("cat_range", "SELECT doc_id, substr(lang || ':' || source, 2, 4) AS part FROM documents")
 def cat_range(spark, sf_dir):
-    df = t(spark, sf_dir, "documents").filter("n_chars > 1000")
-    return df.select("doc_id", F.decode(S.byte_slice(F.concat("lang", F.lit(":"), "source"), 1, 5), "UTF-8").alias("part"))
-
-
-@query("cat_range_all", "SELECT doc_id, substr(lang || ':' || source, 2, 4) AS part FROM documents")
-def cat_range_all(spark, sf_dir):
-    """cat_range over all documents."""
     return t(spark, sf_dir, "documents").select("doc_id", F.decode(S.byte_slice(F.concat("lang", F.lit(":"), "source"), 1, 5), "UTF-8").alias("part"))
 
 
@@ -255,27 +237,6 @@ def acl_read_filter(spark, sf_dir):
 
 
 # -- changes ----------------------------------------------------------------------------------------------------------
-@query("insert_dedup", "SELECT c_custkey, c_name FROM customer UNION ALL SELECT k, 'new ' || k FROM (SELECT c_custkey + 100000000 AS k FROM customer WHERE c_custkey % 3 = 0)")
-def insert_dedup(spark, sf_dir):
-    base = t(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    new = base.filter("c_custkey % 3 = 0").select(F.explode(F.array("c_custkey", F.col("c_custkey") + 100000000)).alias("c_custkey")).withColumn("c_name", F.concat(F.lit("new "), F.col("c_custkey").cast("string")))
-    return base.unionByName(new.join(base.select("c_custkey"), "c_custkey", "left_anti"))
-
-
-@query("update_set", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'DEBT' ELSE c_mktsegment END AS c_mktsegment FROM customer")
-def update_set(spark, sf_dir):
-    from skein.plans.predicates import View, compile_any
-
-    df = t(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
-    hit = compile_any([where(("c_acctbal", "<", "0"))], View(df))
-    return df.select("c_custkey", F.when(hit, "DEBT").otherwise(F.col("c_mktsegment")).alias("c_mktsegment"))
-
-
-@query("update_remove_col", "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE c_name END AS c_name FROM customer")
-def update_remove_col(spark, sf_dir):
-    return t(spark, sf_dir, "customer").select("c_custkey", F.when(~(F.col("c_mktsegment") == "BUILDING"), F.col("c_name")).alias("c_name"))
-
-
 def history(spark, sf_dir) -> DataFrame:
     e = t(spark, sf_dir, "events")
     return e.select(F.col("user_id").alias("_rid"), F.col("event_id").alias("_seq"), (F.col("event_type") == "error").alias("_tombstone"), "value")
@@ -344,21 +305,12 @@ query("blob_insert", "SELECT p_partkey, substr(p_name, 1, 3) || '<ins>' || subst
 query("blob_overwrite", "SELECT p_partkey, substr(p_name, 1, 2) || 'XY' || substr(p_name, 5) AS p_name FROM part")(_edited(lambda c: S.overwrite_at(c, F.lit("XY"), 2)))
 
 
-@query("diff_roundtrip", "SELECT doc_id, sha256(text) AS restored FROM documents WHERE n_chars < 3000")
+@query("diff_roundtrip", "SELECT doc_id, sha256(text) AS restored FROM documents")
 def diff_roundtrip(spark, sf_dir):
-    docs = t(spark, sf_dir, "documents").filter("n_chars < 3000").select("doc_id", "text")
-    new = docs.select("doc_id", F.concat(F.lit("edited "), F.regexp_replace("text", "the", "a")).alias("text"))
-    diffs = blobs.history(docs, new, "doc_id", "text")
-    return new.join(diffs, "doc_id").select("doc_id", F.sha2(S.patch(S.raw(F.col("text")), F.col("diff")), 256).alias("restored"))
-
-
-@query("diff_roundtrip_all", "SELECT doc_id, sha256(text) AS restored FROM documents")
-def diff_roundtrip_all(spark, sf_dir):
-    """diff_roundtrip over all documents and whole texts."""
     docs = t(spark, sf_dir, "documents").select("doc_id", "text")
     new = docs.select("doc_id", F.concat(F.lit("edited "), F.regexp_replace("text", "the", "a")).alias("text"))
-    diffs = blobs.history(docs, new, "doc_id", "text")
-    return new.join(diffs, "doc_id").select("doc_id", F.sha2(S.patch(S.raw(F.col("text")), F.col("diff")), 256).alias("restored"))
+    kept = blobs.history(docs, new, "doc_id", "text")
+    return new.join(kept, "doc_id").select("doc_id", F.sha2(diffs.patch(S.raw(F.col("text")), F.col("diff")), 256).alias("restored"))
 
 
 @query("encrypt_roundtrip", "SELECT c_custkey, c_name FROM customer")
@@ -384,18 +336,6 @@ def watch_filter(spark, sf_dir):
     return Watch(spark, log, folder.schema, [where(("event_type", "=", "purchase"), ("value", ">", "50"))]).pull()
 
 
-@query("virtual_cols", "SELECT event_id, user_id FROM events WHERE event_type <> 'click'")
-def virtual_cols(spark, sf_dir):
-    changes = t(spark, sf_dir, "events").select("event_id", "user_id", (F.col("event_type") == "click").alias("_ephemeral"))
-    return changes.filter("not _ephemeral").drop(*[c for c in changes.columns if c.startswith("_")])
-
-
-@query("volatile_union", "SELECT c_custkey, c_name FROM customer UNION ALL SELECT -s_suppkey - 1, s_name FROM supplier")
-def volatile_union(spark, sf_dir):
-    extra = t(spark, sf_dir, "supplier").select((-F.col("s_suppkey") - 1).alias("c_custkey"), F.col("s_name").alias("c_name"))
-    return t(spark, sf_dir, "customer").select("c_custkey", "c_name").unionByName(extra)
-
-
 @query("tree_column", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) >= 50")
 def tree_column(spark, sf_dir):
     tree = t(spark, sf_dir, "events").select("event_id", F.try_parse_json("props").alias("tree"))
@@ -412,13 +352,8 @@ def signed_rows(spark, sf_dir):
     return kept.filter(sign() == F.col("owning")).select("c_custkey")
 
 
-@query("rows_as_json", "SELECT count(*) AS n FROM nation")
-def rows_as_json(spark, sf_dir):
-    return t(spark, sf_dir, "nation").select(F.to_json(F.struct("*")).alias("row")).filter("row is not null").agg(F.count("*").alias("n"))
-
-
-@query("import_totals", "SELECT count(*) AS files, sum(strlen(n_name))::BIGINT AS bytes FROM nation")
+@query("import_totals", "SELECT count(*) AS files, sum(strlen(text))::BIGINT AS bytes FROM documents")
 def import_totals(spark, sf_dir):
     from skein.sources.tree import totals
 
-    return totals(t(spark, sf_dir, "nation").select(F.lit("file").alias("type"), F.col("n_name").cast("binary").alias("content")))
+    return totals(t(spark, sf_dir, "documents").select(F.lit("file").alias("type"), F.col("text").cast("binary").alias("content")))

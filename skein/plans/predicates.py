@@ -7,7 +7,7 @@ import re
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import scalars as S
@@ -18,6 +18,18 @@ NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 OPERATORS: dict[str, Callable] = {}
 
 
+def valid_regex(pattern: str) -> bool:
+    """Whether Java, which matches, takes the pattern."""
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import PySparkException
+
+    try:
+        SparkSession.active()._jvm.java.util.regex.Pattern.compile(pattern)
+    except (Py4JJavaError, PySparkException):
+        return False
+    return True
+
+
 class View:
     """How clauses see a DataFrame: a column by name (null if there is none) and its type."""
 
@@ -94,11 +106,7 @@ def compile_clause(clause: Clause, view: View, parent: View | None = None) -> Co
     if op == "!has":
         return F.lit(False) if v == "" else c.isNull() | ~F.contains(text, F.lit(v))
     if op == "reg":
-        try:
-            re.compile(v)
-        except re.error:
-            return F.lit(False)
-        return F.coalesce(text, F.lit("")).rlike(v)
+        return F.coalesce(text, F.lit("")).rlike(v) if valid_regex(v) else F.lit(False)
     if op == "hash":
         return S.blake2b(text) == v.lower() if len(v) == 32 else F.sha2(S.raw(c), 256) == v.lower()
     if op == "path":

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.operators import acl, blobs, graph, pipeline, versions
 from skein.operators.engine import CONFLICT, LOCKED, OK, Engine
+from skein.plans import lang
 from skein.plans.lang import assert_, follow, repeat_follow, until, where
 from skein.sources import tree
 
@@ -175,3 +176,165 @@ def test_import_and_export(spark, tmp_path):
     assert graph.with_paths(df.drop("_path")).filter("_path = '/a/b/f.txt'").count() == 1
     tree.export_tree(df, str(tmp_path / "out"))
     assert (tmp_path / "out/a/b/f.txt").read_bytes() == b"hello"
+
+
+def test_hidden_rows_stay_hidden(engine):
+    for name, up in (("perms", None), ("read", "perms"), ("doc", "read"), ("data", None), ("open", "data")):
+        engine.write({"id": name, "name": name, **({"parent_id": up} if up else {})})
+    assert engine.query("READ *")[0] == 2 == engine.query("READ * WHERE id reg .")[0]
+    assert engine.query("READ * WHERE name path **")[0] == 2 and engine.query("READ * WHERE name path /perms/read/*")[0] == 1
+    assert engine.query("LS")[0] == 1 and engine.query("LS /perms/read")[0] == 1 and engine.query("WRITE x=1 WHERE id=doc")[0] == OK
+    assert engine.query("READ * WHERE x=1 OR name path /perms/**")[0] == 3 and engine.query("READ * WHERE x=1")[0] == 0
+
+
+def test_equal_ids_in_one_batch(spark, engine):
+    rows = spark.createDataFrame([("z", "first"), ("z", "second"), (None, "a"), (None, "b"), ("y", "only")], "id string, note string").coalesce(1)
+    engine.insert_rows(rows)
+    engine.insert_rows(rows)
+    assert sorted((r.id or "", r.note) for r in engine.read(["id", "note"]).collect()) == [("", "a"), ("", "a"), ("", "b"), ("", "b"), ("y", "only"), ("z", "first")]
+
+
+def test_a_commit_that_breaks_off_leaves_the_one_before(spark, engine, tmp_path):
+    engine.query("WRITE id=1 note=kept")
+    engine.query("WRITE id=2 note=kept")
+    (tmp_path / "store/manifests/.half").write_text('{"parts": ["nowh')
+    again = Engine(spark, engine.path)
+    assert again.query("READ * WHERE note=kept")[0] == 2 and again.manifest == engine.manifest
+    assert again.query("WRITE id=3 note=kept")[0] == OK and Engine(spark, engine.path).query("READ *")[0] == 3
+    for k in range(4, 9):
+        again.query(f"WRITE id={k}")
+    assert len(again._manifests()) == 3 and Engine(spark, engine.path).query("READ *")[0] == 8
+    with pytest.raises(OSError):  # the first engine's state is old by now
+        engine.query("WRITE id=99")
+    engine._delete(again.parts[0])
+    with pytest.raises(Exception):  # a lost part is an error, not an empty table
+        Engine(spark, engine.path).query("READ *")
+
+
+def test_a_transaction_is_done_whole_or_not_at_all(spark, engine):
+    engine.query("WRITE id=1 tag=a")
+    engine.query("WRITE id=2 tag=b")
+    before = engine.manifest
+    tx = engine.query("COMMIT")[0]
+    engine.query(f"WRITE note=x WHERE id=1 AS {tx}")
+    engine.query(f"WRITE id=3 tag=c AS {tx}")
+    lock = engine.query("LOCK WHERE tag=b")[0]
+    engine.query(f"WRITE note=x WHERE id=2 AS {tx}")
+    assert engine.query(f"UNLOCK {tx}")[0] == LOCKED and engine.manifest == before
+    for e in (engine, Engine(spark, engine.path)):
+        assert e.query("READ * WHERE note=x")[0] == 0 and e.query("READ *")[0] == 2
+    engine.rollback(lock)
+    tx = engine.query("COMMIT")[0]
+    engine.query(f"WRITE note=x WHERE id=1 AS {tx}")
+    engine.query(f"BURN WHERE id=2 AS {tx}")
+    assert engine.query(f"UNLOCK {tx}")[0] == OK and engine.manifest == before + 1 and Engine(spark, engine.path).query("READ * WHERE note=x")[0] == 1
+
+
+def test_blobs_and_their_history(spark, engine):
+    long = "0123456789" * 100
+    engine.tee("/a.txt", long)
+    engine.tee("/b.txt", long)
+    engine.tee("/small.txt", "few")
+    assert engine.cat("/a.txt", 3, 6) == b"345" and engine.cat("/small.txt") == b"few"
+    assert engine._chain().count() == 1 and engine._stored().filter("content = 'few'").count() == 1 and engine._stored().filter("length(content) > 600").count() == 0
+    again = Engine(spark, engine.path)
+    assert again.read(["content:hash"], [where(("name", "=", "a.txt"))]).first()["content"] == again.read(["content:hash"], [where(("name", "=", "b.txt"))]).first()["content"]
+    again.tee("/a.txt", "!", "+")
+    diff = again.read(["content:diff"], [where(("name", "=", "b.txt"))]).first()["content"]
+    from skein.functions.diffs import Diff
+
+    assert len(diff) < 200 and Diff.unpack(bytes(diff)).content((long + "!").encode()) == long.encode() == again.cat("/b.txt")
+    assert bytes(again.read(["content:diff"], [where(("name", "=", "a.txt"))]).first()["content"]).decode() == long + "!"
+    again.query("BURN WHERE name=a.txt")
+    assert again._chain().filter("base is null").count() == 1 == again._chain().count() and again.cat("/b.txt") == long.encode()
+    again.query("BURN WHERE name=b.txt")
+    assert again._chain().count() == 0 and again.read(groups=[where(("content", "has", "ew"))]).count() == 1
+
+
+def test_sealed_values(spark, tmp_path):
+    one, two = b"0123456789abcdef", b"fedcba9876543210"
+    engine = Engine(spark, f"file://{tmp_path}/sealed", [one, two])
+    engine.write({"id": "1", "name": "secret one"}, key=one)
+    engine.write({"id": "2", "name": "secret two"}, key=two)
+    engine.write({"id": "3", "name": "open"})
+    names = lambda e: sorted(r["name"] or "-" for r in e.read(["name"]).collect())
+    assert names(engine) == ["open", "secret one", "secret two"] and names(Engine(spark, engine.path, [two])) == ["-", "open", "secret two"]
+    assert engine.query("READ * WHERE name has secret")[0] == 2 and engine._stored().filter("name like 'secret%'").count() == 0
+    assert engine.query("WRITE note=x WHERE name='secret two'")[0] == OK and names(engine) == ["open", "secret one", "secret two"]
+
+
+def test_rules_on_writes_and_removals(spark, engine):
+    ann, bob = acl.Session(engine, "ann"), acl.Session(engine, "bob")
+    assert ann.write({"id": "free", "name": "free"}) == OK and bob.write({"note": "x"}, [where(("id", "=", "free"))]) == OK  # open without rules
+    engine.insert_rows(acl.rule_rows(spark, [("/create/**", "ann"), ("/read/me/**", "ann"), ("/modify/me/**", "ann"), ("/own/*/doc1", "ann"), ("/read/*/free", "bob"), ("/modify/*/doc1", "bob"), ("/disown/*/doc1", "ann")]))
+    assert ann.write({"id": "d", "name": "doc1", "content": "secret"}) == OK and bob.write({"id": "e", "name": "doc2"}) == acl.DENIED
+    owners = lambda: sorted(r["owner"] for r in engine.read(["owner"], [where(("name", "path", "/perms/owning/doc1"))]).collect())
+    seen = lambda s: sorted(r["name"] for r in s.read(["name"]).collect())
+    assert owners() == ["ann"] and seen(ann) == ["doc1"] and seen(bob) == ["free"]
+    owning = engine._folders(["perms", "owning"])
+    assert ann.write({"id": "o", "name": "doc1", "parent_id": owning, "owner": "bob"}) == OK and owners() == ["ann", "bob"]
+    assert bob.write({"id": "p", "name": "doc1", "parent_id": owning, "owner": "bob"}) == acl.DENIED
+    assert ann.write({"content": "changed"}, [where(("id", "=", "d"))]) == OK and owners() == ["ann"]
+    assert bob.write({"content": "again"}, [where(("id", "=", "d"))]) == OK and owners() == ["bob"] and seen(ann) == []
+    assert ann.write({"content": "no"}, [where(("id", "=", "d"))]) == acl.DENIED == bob.remove([where(("id", "=", "d"))])
+    assert ann.remove([where(("name", "path", "/perms/owning/doc1"))]) == OK and owners() == []
+    assert bob.write({"owner": "bob"}, [where(("name", "path", "/perms/modify/**"))]) == acl.DENIED
+
+
+def test_signed_writes(spark, engine):
+    from skein.functions import scalars as S
+
+    key, values = b"ann's key", {"id": "1", "name": "n"}
+    sign = lambda v: spark.range(1).select(S.signature({k: F.lit(x) for k, x in v.items()}, key).alias("s")).first()["s"]
+    ann = acl.Session(engine, "ann", key)
+    assert ann.write(values | {"owning": f"ann:{sign(values)}"}) == OK and ann.write({"id": "2", "name": "n", "owning": f"ann:{sign(values)}"}) == acl.DENIED
+    assert ann.write(values | {"owning": f"bob:{sign(values)}"}) == acl.DENIED == acl.Session(engine, "ann").write(values | {"owning": f"ann:{sign(values)}"})
+
+
+def test_deep_trees_and_closures(spark):
+    n = 24
+    chain = spark.createDataFrame([(str(i), str(i - 1) if i else None, f"n{i}") for i in range(n)], "id string, parent_id string, name string")
+    paths = {r["id"]: r["_path"] for r in graph.with_paths(chain).collect()}
+    assert len(paths) == n and paths["22"] == "".join(f"/n{i}" for i in range(23))
+    assert [r["id"] for r in graph.at_path(chain, paths["20"]).collect()] == ["20"] and graph.at_path(chain, "/n0/none").count() == 0
+    assert {r["id"] for r in graph.with_paths(chain, pattern="/n0/n1/*/**").collect()} == {str(i) for i in range(2, n)}
+    assert {r["id"] for r in graph.with_paths(chain, pattern="**").collect()} == {str(i) for i in range(n)} and graph.with_paths(chain, pattern="/n0/n?").count() == 1
+    assert graph.with_paths(chain.filter("id > '0'")).count() == 0  # nothing hangs on a root
+
+
+def test_alternatives_of_hops_are_joins_by_key(spark):
+    df = spark.createDataFrame([(i, i * 7 % 11, i % 5, f"w{i % 4}") for i in range(40)] + [(3, 1, 1, "w1")], "id int, a int, b int, w string")
+    rows = [r.asDict() for r in df.collect()]
+    groups = [where(("id", "<", "4")), follow(("a", "=", "parent.b")), lang.or_(follow(("b", "=", "parent.a"), ("id", ">", "9"))), lang.or_(follow(("w", "=", "parent.w"), ("a", "=", "parent.a")))]
+    found = pipeline.match(df, groups, "id")
+    top = [r for r in rows if r["id"] < 4]
+    want = sorted(r["id"] for r in rows if any(r["a"] == p["b"] or r["b"] == p["a"] and r["id"] > 9 or r["w"] == p["w"] and r["a"] == p["a"] for p in top))
+    assert sorted(r["id"] for r in found.collect()) == want
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_patterns_are_java_s(spark):
+    df = spark.createDataFrame([("abc",), ("Abc",)], "t string")
+    count = lambda p: pipeline.match(df, [where(("t", "reg", p))], "t").count()
+    assert (count(r"\p{Upper}bc"), count("(?<n>a)bc"), count("(?P<n>a)"), count("(")) == (1, 1, 0, 0)
+
+
+def test_gates_on_paths(engine):
+    for name, up in (("a", None), ("b", "a"), ("c", "b")):
+        engine.write({"id": name, "name": name, "kind": "x", **({"parent_id": up} if up else {})})
+    read = lambda text: engine.query(f"READ id WHERE kind=x {text}")[0]
+    assert (read("ASSERT name path /a/b"), read("ASSERT name path /a/z"), read("ASSERT parent_id='' ASSERT FOLLOW parent_id=parent.id")) == (3, 0, 3)
+    assert (read("ASSERT parent_id='' ASSERT FOLLOW parent_id=parent.id name=z"), read("ASSERT name path /a ASSERT REPEATFOLLOW parent_id=parent.id"), read("ASSERT name path /a ASSERT kind=x")) == (0, 3, 3)
+    assert engine.query("READ id ASSERT name path /a")[0] == 0 and read("ASSERT name path /a ASSERT kind=y") == 0
+
+
+def test_digests(spark):
+    import hashlib
+    import zlib
+
+    from skein.plans.catalogue import QUERIES, t
+
+    sf = "/root/testdata/sf0.001"
+    want = {r.doc_id: hashlib.blake2b(r.text.encode(), digest_size=16).hexdigest() for r in t(spark, sf, "documents").collect()}
+    assert {r.doc_id: r.text for r in QUERIES["blake2b_hash"](spark, sf).collect()} == want
+    assert {r.p_partkey: r.crc for r in QUERIES["crc32_hash"](spark, sf).collect()} == {r.p_partkey: zlib.crc32(r.p_name.encode()) for r in t(spark, sf, "part").collect()}
