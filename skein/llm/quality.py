@@ -141,18 +141,25 @@ class Views:
 
 
 def platt(score: np.ndarray, good: np.ndarray) -> tuple[float, float]:
-    """a, c of the logistic curve a * score + c through the rows, by Newton steps with a slight pull to 0. A score that runs against the labels gets a = 0 and the base rate's c."""
+    """a, c of the logistic curve a * score + c through the rows, by damped Newton steps with a slight pull to 0. A score that runs against the labels gets a = 0 and the base rate's c."""
     base = float(np.log((good.sum() + 1) / ((1 - good).sum() + 1)))
-    a, c = 0.0, base
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * score + c, -30, 30)))
+
+    def loss(at: np.ndarray) -> float:
+        return float(np.logaddexp(0, -(2 * good - 1) * (at[0] * score + at[1])).sum() + 0.005 * at[0] ** 2)
+
+    at = np.array([0.0, base])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(at[0] * score + at[1], -500, 500)))
         w = p * (1 - p) + 1e-9
-        gradient = np.array([((p - good) * score).sum() + 0.01 * a, (p - good).sum()])
+        gradient = np.array([((p - good) * score).sum() + 0.01 * at[0], (p - good).sum()])
         hessian = np.array([[(w * score**2).sum() + 0.01, (w * score).sum()], [(w * score).sum(), w.sum()]])
         step = np.linalg.solve(hessian, gradient)
-        a, c = a - float(step[0]), c - float(step[1])
-        if np.abs(step).max() < 1e-8:
+        while loss(at - step) > loss(at) and np.abs(step).max() > 1e-9:  # rows that a line parts draw a full step too far
+            step /= 2
+        at = at - step
+        if np.abs(step).max() < 1e-9:
             break
+    a, c = float(at[0]), float(at[1])
     return (a, c) if a > 0 else (0.0, base)
 
 
@@ -207,9 +214,9 @@ def train(features: DataFrame, labels: DataFrame) -> Views | None:
 
     def refit():
         views.fit()
+        views.base = float(np.log((good[held].sum() + 1) / ((1 - good[held]).sum() + 1)))
         scores = views.scores(x[held], m[held])
         views.calibration = [platt(scores[:, k], good[held]) for k in (0, 1)]
-        views.base = float(np.log((good[held].sum() + 1) / ((1 - good[held]).sum() + 1)))
 
     refit()
     for _ in range(ROUNDS):
