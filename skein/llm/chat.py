@@ -10,7 +10,9 @@ string can come from a text, and reading back is exact. The loss mask of an assi
 
 Turns are formatted row by row. A conversation is its turns in order of (turn, role, text); digest() reads the formatted turns back as a stream
 sorted by conversation, holding a few counters, so a conversation of any length passes (its digests are sequential, so one
-task reads it). Defined results: null text or no parts is empty content, a null role is empty, null turns come first, rows
+task reads it). A parts value that is a JSON object is one part, that is null or empty no part, that is no JSON one text;
+in a list a string is a text; whatever else is no part, or of an unknown type, leaves `<|other|>` and a record without
+tokens; sizes that are no positive numbers count as missing. Defined results: null text or no parts is empty content, a null role is empty, null turns come first, rows
 with equal turn are turns each, a null conv_id is a conversation of its own, an empty table gives none.
 """
 
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import re
 from collections.abc import Iterator
 
@@ -28,8 +31,8 @@ from pyspark.sql import functions as F
 from skein.llm.common import NULL_ID, real_id, small_batches, table
 
 BEGIN, END, MASKED = "<|im_start|>", "<|im_end|>\n", "assistant"
-#: Tokens that parts expand to: an image one a tile, audio so many a second, a document so many a page.
-TILE, PER_SECOND, PER_PAGE = 28, 25, 512
+#: Tokens that parts expand to: an image one a tile, audio so many a second, a document so many a page; sizes beyond MOST count as that.
+TILE, PER_SECOND, PER_PAGE, MOST = 28, 25, 512, 1e9
 
 _ESCAPED = re.compile(r"\\(.)", re.S)
 
@@ -51,35 +54,59 @@ class Flatten:
         self.texts: list[tuple[int, int]] = []  # where texts lie in the content
         self.attachments: list[dict] = []
 
-    def visit(self, part: dict):
-        getattr(self, f"visit_{part.get('type') or 'text'}", self.visit_other)(part)
+    def visit(self, part):
+        kind = part.get("type") or "text" if isinstance(part, dict) else "text" if isinstance(part, str) else None
+        visitor = {"text": self.visit_text, "image": self.visit_image, "audio": self.visit_audio, "document": self.visit_document}.get(kind if isinstance(kind, str) else None, self.visit_other)
+        visitor({"text": part} if isinstance(part, str) else part)
         return self
 
     def visit_text(self, part):
-        text = escape(part.get("text") or "")
+        text = part.get("text")
+        text = escape(text if isinstance(text, str) else "" if text is None else json.dumps(text))
         if text:
             self.texts.append((self.size, len(text)))
             self._put(text)
 
     def visit_image(self, part):
-        self._attach(part, -(-int(part.get("width") or TILE) // TILE) * -(-int(part.get("height") or TILE) // TILE))
+        self._attach(part, "image", math.ceil(_size(part, "width", TILE) / TILE) * math.ceil(_size(part, "height", TILE) / TILE))
 
     def visit_audio(self, part):
-        self._attach(part, max(1, round(float(part.get("seconds") or 0) * PER_SECOND)))
+        self._attach(part, "audio", max(1, round(_size(part, "seconds", 0) * PER_SECOND)))
 
     def visit_document(self, part):
-        self._attach(part, max(1, int(part.get("pages") or 1)) * PER_PAGE)
+        self._attach(part, "document", math.ceil(_size(part, "pages", 1)) * PER_PAGE)
 
     def visit_other(self, part):
-        raise ValueError(f"no such kind of part: {part.get('type')}")
+        self._attach(part if isinstance(part, dict) else {"ref": json.dumps(part)}, "other", 0)
 
     def _put(self, text: str):
         self.out.append(text)
         self.size += len(text)
 
-    def _attach(self, part, tokens: int):
-        self.attachments.append({"place": len(self.attachments), "type": part["type"], "ref": part.get("ref"), "at": self.size, "tokens": tokens})
-        self._put(f"<|{part['type']}|>")
+    def _attach(self, part: dict, kind: str, tokens: int):
+        ref = part.get("ref")
+        self.attachments.append({"place": len(self.attachments), "type": kind, "ref": ref if ref is None or isinstance(ref, str) else json.dumps(ref), "at": self.size, "tokens": tokens})
+        self._put(f"<|{kind}|>")
+
+
+def _size(part: dict, name: str, missing: float) -> float:
+    """A positive number of a part, of at most MOST."""
+    try:
+        value = float(part.get(name))
+    except (TypeError, ValueError):
+        return missing
+    return min(value, MOST) if value > 0 else missing
+
+
+def parts_of(value: str | None, text: str) -> list:
+    """The parts of a turn: those of a JSON value, or else its text."""
+    if not value:
+        return [{"type": "text", "text": text}]
+    try:
+        found = json.loads(value)
+    except ValueError:
+        return [{"type": "text", "text": value}]
+    return found if isinstance(found, list) else [] if found is None else [found]
 
 
 def format_turn(role: str | None, parts: list[dict]) -> tuple[str, list[tuple[int, int]], list[dict]]:
@@ -103,8 +130,7 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
         for role, text, parts in zip(b["role"].to_pylist(), b["text"].to_pylist(), b["parts"].to_pylist(), strict=True):
-            typed = json.loads(parts) if parts else [{"type": "text", "text": text}]
-            rows.append(format_turn(role, typed))
+            rows.append(format_turn(role, parts_of(parts, text)))
         mask = [[{"at": a, "length": n} for a, n in r[1]] for r in rows]
         yield pa.record_batch([b["conv_id"], b["turn"], pa.array([r[0] for r in rows], pa.string()), pa.array(mask, _MASK), pa.array([r[2] for r in rows], _ATTACHED)], ["conv_id", "turn", "formatted", "mask", "attachments"])
 
@@ -122,7 +148,7 @@ def read_turn(formatted: str) -> tuple[str, str]:
     """(role, text) of a formatted turn; placeholders are no text."""
     assert formatted.startswith(BEGIN) and formatted.endswith(END)
     role, content = formatted[len(BEGIN) : -len(END)].split("\n", 1)
-    return unescape(role), unescape(re.sub(r"<\|(?:image|audio|document)\|>", "", content))
+    return unescape(role), unescape(re.sub(r"<\|(?:image|audio|document|other)\|>", "", content))
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,5 +198,21 @@ def with_probe(turns: DataFrame) -> DataFrame:
     return turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(probe)
 
 
+def typed_parts(turns: DataFrame) -> DataFrame:
+    """Turns with parts made of their own columns: the text, and by the turn's number an image, a recording or a document."""
+    wide = F.lit(28) * (F.col("turn") % 3 + 1)
+    part = lambda kind, **more: F.struct(F.lit(kind).alias("type"), *[v.alias(k) for k, v in more.items()])
+    ref = F.concat_ws("/", "conv_id", "turn")
+    kinds = [part("image", ref=ref, width=wide, height=F.lit(30)), part("audio", ref=ref, seconds=F.col("turn") / 2), part("document", ref=ref, pages=F.col("turn") + 1)]
+    extra = F.when(F.col("turn") % 4 == 0, F.to_json(kinds[0])).when(F.col("turn") % 4 == 1, F.to_json(kinds[1])).when(F.col("turn") % 4 == 2, F.to_json(kinds[2]))
+    own = F.to_json(part("text", text=F.coalesce("text", F.lit(""))))
+    return turns.withColumn("parts", F.concat(F.lit("["), F.concat_ws(",", extra, own), F.lit("]")))
+
+
+def chat_parts(spark, sf_dir: str) -> DataFrame:
+    """The conversations with typed parts beside their texts."""
+    return digest(format_turns(typed_parts(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")), "parts"))
+
+
 def op9_chat_format(spark, sf_dir: str) -> DataFrame:
     return digest(format_turns(with_probe(table(spark, sf_dir, "conversations"))))

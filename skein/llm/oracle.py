@@ -23,3 +23,14 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sum(length('<|im_start|>') + length(role) + 1 + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + length('<|im_end|>') + 1)::BIGINT AS formatted_chars, 0::BIGINT AS attachment_tokens
 FROM t GROUP BY conv_id
 """
+
+CHAT_PARTS = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  CASE turn % 4 WHEN 0 THEN (turn % 3 + 1) * 2 WHEN 1 THEN greatest(1, round_even(turn / 2 * 25, 0)) WHEN 2 THEN (turn + 1) * 512 ELSE 0 END AS tokens,
+  CASE turn % 4 WHEN 0 THEN length('<|image|>') WHEN 1 THEN length('<|audio|>') WHEN 2 THEN length('<|document|>') ELSE 0 END AS placeholder FROM conversations)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(length('<|im_start|>') + length(role) + 1 + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + placeholder + length('<|im_end|>') + 1)::BIGINT AS formatted_chars, sum(tokens)::BIGINT AS attachment_tokens
+FROM t GROUP BY conv_id
+"""

@@ -13,6 +13,7 @@ QUERIES = {
     "sentencepiece_unigram": pieces.sentencepiece_unigram,
     "op8_language_id": language_id.op8_language_id,
     "op9_chat_format": chat.op9_chat_format,
+    "chat_parts": chat.chat_parts,
     "op10_merkle_prints": merkle.op10_merkle_prints,
     "language_id_pages": language_id.language_id_pages,
 }
@@ -20,4 +21,5 @@ SQL = {
     "op2_ngram_jaccard_join": oracle.JACCARD,
     "op3_exact_dedup": exact_dedup.SQL,
     "op9_chat_format": oracle.CHAT,
+    "chat_parts": oracle.CHAT_PARTS,
 }

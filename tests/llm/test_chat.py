@@ -52,3 +52,22 @@ def test_odd_conversations(spark):
     got = {r.conv_id: r for r in chat.digest(chat.format_turns(df, "parts")).collect()}
     assert got[1].n_turns == 3 and got[None].loss_chars == 0 and got[2].loss_chars == 250_000 and got[3].attachment_tokens == 50 + 3 * 512
     assert chat.digest(chat.format_turns(df.limit(0))).count() == 0
+
+
+def test_odd_parts(spark):
+    values = {"null": ("", 0), '{"type":"text","text":"one"}': ("one", 0), "[1]": ("", 0), '["plain"]': ("plain", 0), "{broken": ("{broken", 0), '[{"type":"video","ref":"v"},{"text":"t"}]': ("t", 0), '[{"type":"image","width":"wide","height":null}]': ("", 1), '[{"type":"image","width":-5,"height":1e400}]': ("", 35714286), "[]": ("", 0), '[{"type":"text","text":7},{"type":5},[],null,{"type":"audio","seconds":"nan"},{"type":"document","pages":[2]}]': ("7", 1 + 512), '[{"type":"text"}]': ("", 0)}
+    df = spark.createDataFrame([(k, 0, "assistant", "ignored", v) for k, v in enumerate(values)], "conv_id long, turn long, role string, text string, parts string")
+    turns = {r.conv_id: r for r in chat.format_turns(df, "parts").collect()}
+    got = {r.conv_id: r for r in chat.digest(chat.format_turns(df, "parts")).collect()}
+    for k, (text, tokens) in enumerate(values.values()):
+        assert chat.read_turn(turns[k].formatted) == ("assistant", text) and got[k].attachment_tokens == tokens and got[k].loss_chars == len(text)
+    assert [a.ref for a in turns[5].attachments] == ["v"] and [a.type for a in turns[2].attachments] == ["other"]
+
+
+def test_typed_parts_of_the_sample_table(spark, sf):
+    rows = table(spark, sf, "conversations")
+    got = {r.conv_id: r for r in chat.chat_parts(spark, sf).collect()}
+    plain = brute([tuple(r) for r in rows.select("conv_id", "turn", "role", "text").collect()])
+    assert {k: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for k, r in got.items()} == plain
+    kinds = [a.type for r in chat.format_turns(chat.typed_parts(rows.select("conv_id", "turn", "role", "text")), "parts").collect() for a in r.attachments]
+    assert {"image", "audio", "document"} <= set(kinds)
