@@ -42,18 +42,22 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new folder below the one that driver and executors share (spark.checkpoint.dir); a local one only where it is unset, as in tests."""
+    """A new folder below the one that driver and executors share (spark.checkpoint.dir); where it is unset, a local one if Spark is local, as in tests, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="skein-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """The rows written as a table in the shared folder and read again: cuts the lineage and survives lost executors."""
+def stored(df: DataFrame, label: str, made: list[str] | None = None) -> DataFrame:
+    """The rows written as a table in the shared folder and read again: cuts the lineage and survives lost executors. made gets the table's path, for removed()."""
     path = shared_dir(df.sparkSession, label)
     df.write.parquet(path)
+    if made is not None:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import stored
+from skein.llm.common import removed, stored
 
 #: Edges that are contracted at once.
 CHUNK = 1 << 20
@@ -65,16 +65,24 @@ def _rows(u: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(u[k : k + ROWS]), pa.array(v[k : k + ROWS])], ["u", "v"])
 
 
-def components(edges: DataFrame, chunk: int | None = None) -> DataFrame:
-    """(node, component) for every node of the edges (u, v); component is its smallest node."""
-    chunk = chunk or CHUNK
-    work = stored(edges.select("u", "v").filter("u != v").mapInArrow(lambda it: _forest(it, chunk), "u long, v long"), "edges")
+def components(edges: DataFrame, chunk: int | None = None, made: list[str] | None = None) -> DataFrame:
+    """(node, component) for every node of the edges (u, v); component is its smallest node. made gets the path of the table that it is read from; those on the way are removed."""
+    chunk, spark, own = chunk or CHUNK, edges.sparkSession, []
+    work = stored(edges.select("u", "v").filter("u != v").mapInArrow(lambda it: _forest(it, chunk), "u long, v long"), "edges", own)
+
+    def done(df: DataFrame) -> DataFrame:
+        for path in own[:-1]:
+            removed(spark, path)
+        if made is not None:
+            made.append(own[-1])
+        return _named(df)
+
     size = work.count()
     while size:
         lots = -(-size // chunk)
-        work = stored(work.repartition(lots).mapInArrow(lambda it: _forest(it, 2 * chunk), "u long, v long"), "forest")
+        work = stored(work.repartition(lots).mapInArrow(lambda it: _forest(it, 2 * chunk), "u long, v long"), "forest", own)
         if lots == 1:
-            return _named(work)
+            return done(work)
         before, size = size, work.count()
         if 2 * size > before:
             break
@@ -88,12 +96,12 @@ def components(edges: DataFrame, chunk: int | None = None) -> DataFrame:
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v")
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u")
-        work = stored(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct(), "star")
+        work = stored(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct(), "star", own)
         now = work.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == before:
             break
         before = now
-    return _named(work)
+    return done(work)
 
 
 def _named(work: DataFrame) -> DataFrame:

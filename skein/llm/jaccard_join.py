@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import NULL_ID, id_text, mix64, real_id, runs, shingle_sets, small_batches, stored, table, utf8_buffer
+from skein.llm.common import NULL_ID, id_text, mix64, real_id, removed, runs, shingle_sets, small_batches, stored, table, utf8_buffer
 from skein.llm.components import _forest, components
 
 #: Bytes of text of a chunk, n-grams of an index block.
@@ -437,29 +437,29 @@ def jaccard_components(df: DataFrame, width: int = 5, num: int = 80, den: int =
     spark = df.sparkSession
     small_batches(spark)
     docs = id_text(df, id_col, text_col)
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets, made = 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), []  # made: tables to remove at the end
     members = stored(docs.mapInArrow(lambda it: _members(it, width), "id long, n long, head long, h1 long, h2 long"), "sets")
     # 1: equal sets and equal ids, then coarse groups
     real = members.filter(f"n > 0 and id != {NULL_ID}")
     heads = real.filter("id = head").select("id", "n", "h1", "h2").distinct()
     equal = heads.groupBy("n", "h1", "h2").agg(F.min("id").alias("first"))
-    firsts = stored(heads.join(equal, ["n", "h1", "h2"]).select("id", "first", "n"), "first")
+    firsts = stored(heads.join(equal, ["n", "h1", "h2"]).select("id", "first", "n"), "first", made)
     several = real.groupBy("id").agg(F.min("head").alias("a"), F.max("head").alias("b")).filter("a != b").select("id")
     ties = firsts.filter("id != first").select(F.col("id").alias("u"), F.col("first").alias("v")).union(real.join(several, "id").filter("id != head").select(F.col("id").alias("u"), F.col("head").alias("v")))
-    ties = stored(ties.distinct(), "ties")
+    ties = stored(ties.distinct(), "ties", made)
     cells = spark.sparkContext.broadcast(rarity_cells(docs, width))
     signs = docs.mapInArrow(lambda it: _signatures(it, width, num, den, buckets, cells), "bucket int, keys binary, ids binary, counts binary, edges binary")
-    stars = stored(signs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _forest(_edges(it)), "u long, v long"), "stars")
-    coarse = components(stars.union(ties))
+    stars = stored(signs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _forest(_edges(it)), "u long, v long"), "stars", made)
+    coarse = components(stars.union(ties), made=made)
     # 2 and 3: the search in each group of two or more different sets
     nodes = coarse.join(firsts.filter("id = first").groupBy(F.col("id").alias("node")).agg(F.sum("n").alias("n")), "node")
     sizes = nodes.groupBy("component").agg(F.sum("n").alias("total"), F.count("*").alias("sets")).filter("sets > 1").withColumn("blocks", F.ceil(F.col("total") / POSTINGS).cast("int"))
     placed = nodes.join(sizes, "component").select(F.col("component").alias("grp"), F.col("node").alias("_id"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    placed = stored(docs.join(placed, "_id").select("grp", "blocks", "block", "_id", "_text"), "groups")
+    placed = stored(docs.join(placed, "_id").select("grp", "blocks", "block", "_id", "_text"), "groups", made)
 
     def search(rows: DataFrame) -> DataFrame:
         dealt = rows.select("grp", "slice", "role", "_id", "label", "_text").repartition("grp", "slice").sortWithinPartitions("grp", "slice", "role", "_id")
-        return stored(dealt.mapInArrow(lambda it: _search(it, width, num, den), "u long, v long"), "links")
+        return stored(dealt.mapInArrow(lambda it: _search(it, width, num, den), "u long, v long"), "links", made)
 
     own = F.col("_id").alias("label")
     small = placed.filter("blocks = 1").select("grp", F.lit(0).alias("slice"), F.lit(0).alias("role"), "_id", own, "_text")
@@ -469,7 +469,7 @@ def jaccard_components(df: DataFrame, width: int = 5, num: int = 80, den: int =
     some = not large.isEmpty()
     links = search(small.union(asked).union(copies) if some else small)
     if some:
-        sofar = components(links)
+        sofar = components(links, made=made)
         held = large.join(sofar.withColumnRenamed("node", "_id"), "_id", "left").withColumn("label", F.coalesce("component", "_id"))
         parts = held.groupBy("grp", "label").count()
         most = parts.groupBy("grp").agg(F.max_by("label", F.struct("count", "label")).alias("most"), F.count("*").alias("parts"))
@@ -480,6 +480,8 @@ def jaccard_components(df: DataFrame, width: int = 5, num: int = 80, den: int =
             links = links.union(search(indexed.union(rest)))
     # 4: back to all rows
     final = components(links.union(ties)).withColumnRenamed("node", "head")
+    for path in made:
+        removed(spark, path)
     return members.join(final, "head", "left").select(real_id("id").alias("doc_id"), F.col("n").alias("n_shingles"), real_id(F.when(F.col("n") > 0, F.coalesce("component", "head")).otherwise(F.col("id"))).alias("component_id"))
 
 
