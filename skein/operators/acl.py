@@ -80,49 +80,56 @@ class Session:
 
     def __init__(self, engine, user: str, key: bytes | None = None):
         self.engine, self.user, self.key = engine, user, key
+        self.kept: tuple | None = None
 
     def _rules(self) -> DataFrame:
-        nodes = self.engine._nodes(None, None, True, [])
-        owner = F.col("owner") if "owner" in nodes.columns else F.lit(None).cast("string").alias("owner")
-        return nodes.filter(F.col("_path").rlike("^/perms/[^/]+/")).select(F.expr("substring(_path, 7)").alias("rule"), owner)
-
-    def _marked(self, rows: DataFrame, rules: DataFrame, **actions: str) -> DataFrame:
+        """(rule, owner) of all rules; read again when the table has changed."""
+        state = (self.engine.seq, self.engine.manifest, len(self.engine.parts), len(self.engine.volatile))
+        if self.kept is None or self.kept[0] != state:
+            nodes = self.engine._nodes(None, None, True, [])
+            owner = F.col("owner") if "owner" in nodes.columns else F.lit(None).cast("string").alias("owner")
+            rules = saved(nodes.filter(F.col("_path").rlike("^/perms/[^/]+/")).select(F.expr("substring(_path, 7)").alias("rule"), owner), "rules")
+            mine, starred = rules.filter(F.col("owner") == self.user).select("rule").distinct(), F.col("rule").rlike(r"^/[^/]+/(?:[^/]*/)*\*{1,2}(?:/|$)")
+            wild = mine.filter(starred).limit(10_001).collect()
+            if len(wild) > 10_000:
+                raise ValueError("more than 10,000 wildcard rules for one user")
+            patterns = "|".join("".join("(?:/.*)?" if p == "**" else "/" + glob_regex(p, "[^/]*", "[^/]") for p in r["rule"].strip("/").split("/")) for r in wild)
+            self.kept = (state, rules, rules.isEmpty(), patterns, mine.filter(~starred).select(F.col("rule").alias("_rule"), F.lit(True).alias("_there")))
+        return self.kept[1]
+
+    def _open(self) -> bool:
+        self._rules()
+        return self.kept[2]
+
+    def _marked(self, rows: DataFrame, **actions: str) -> DataFrame:
         """rows (_path) with a boolean column for each action: whether a rule of the user grants it there. Rules without wildcards are an equality join, the others, whose number is checked, one regular expression."""
-        mine = rules.filter(F.col("owner") == self.user).select("rule").distinct()
-        starred = F.col("rule").rlike(r"^/[^/]+/(?:[^/]*/)*\*{1,2}(?:/|$)")
-        wild = mine.filter(starred).limit(10_001).collect()
-        if len(wild) > 10_000:
-            raise ValueError("more than 10,000 wildcard rules for one user")
-        patterns = "|".join("".join("(?:/.*)?" if p == "**" else "/" + glob_regex(p, "[^/]*", "[^/]") for p in r["rule"].strip("/").split("/")) for r in wild)
-        exact = mine.filter(~starred).withColumnRenamed("rule", "_rule")
+        self._rules()
+        _, _, _, patterns, exact = self.kept
         for name, action in actions.items():
             place = F.concat(F.lit(f"/{action}"), F.col("_path"))
-            there = exact.withColumn("_there", F.lit(True))
-            rows = rows.join(there, place == F.col("_rule"), "left").withColumn(name, F.coalesce("_there", F.lit(False)) | (place.rlike(f"^(?:{patterns})$") if patterns else F.lit(False))).drop("_rule", "_there")
+            rows = rows.join(exact, place == F.col("_rule"), "left").withColumn(name, F.coalesce("_there", F.lit(False)) | (place.rlike(f"^(?:{patterns})$") if patterns else F.lit(False))).drop("_rule", "_there")
         return rows
 
-    def may(self, action: str, path: str, rules: DataFrame | None = None) -> bool:
-        rules = self._rules() if rules is None else rules
+    def may(self, action: str, path: str) -> bool:
         one = self.engine.spark.createDataFrame([("/" + path.strip("/"),)], "_path string")
-        return bool(self._marked(one, rules, granted=action).first()["granted"])
+        return bool(self._marked(one, granted=action).first()["granted"])
 
-    def _owned(self, rows: DataFrame, rules: DataFrame) -> DataFrame:
+    def _owned(self, rows: DataFrame) -> DataFrame:
         """rows with _own: whether they are the user's."""
-        mark = self._marked(rows, rules, _ruled="owning")
+        mark = self._marked(rows, _ruled="owning")
         column = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string")
         named = F.when(column("owning").isNotNull(), F.contains(column("owning"), F.lit(self.user))).otherwise(column("owner") == self.user)
         return mark.withColumn("_own", F.coalesce(named, F.lit(False)) | F.col("_ruled")).drop("_ruled")
 
     def read(self, columns: list[str] | None = None, groups: list[Group] | None = None, limit: int = 0, page: int = 0) -> DataFrame:
-        rules = self._rules()
-        if rules.isEmpty():
+        if self._open():
             return self.engine.read(columns, groups, limit, page)
         groups = groups or []
         nodes = self.engine._nodes(None, groups, names=None)
         if "_path" not in nodes.columns:
             paths = self.engine._nodes(None, None, True).select("_rid", "_path")
             nodes = nodes.join(paths, "_rid", "left")
-        marked = self._owned(self._marked(nodes, rules, _mine="read/me", _any="read/*"), rules)
+        marked = self._owned(self._marked(nodes, _mine="read/me", _any="read/*"))
         seen = marked.filter(F.col("_any") | F.col("_own") & F.col("_mine")).drop("_mine", "_any", "_own")
         found = pipeline.read(seen, groups, columns, "_rid", limit, page)
         return found.drop(*[c for c in found.columns if c.startswith(("_", "#"))])
@@ -146,13 +153,13 @@ class Session:
 
     def write(self, values: dict, groups: list[Group] | None = None, **more) -> int:
         """As Engine.write, or DENIED."""
-        rules, groups = self._rules(), groups or []
+        groups = groups or []
         if not self._signed(values):
             return DENIED
-        open_, rest = rules.isEmpty(), [g for g in groups if not g.kind.startswith("assert")]
+        open_, rest = self._open(), [g for g in groups if not g.kind.startswith("assert")]
         if not rest:
             path = self._target(values)
-            if not open_ and not self._may_make(path, values, rules):
+            if not open_ and not self._may_make(path, values):
                 return DENIED
             code = self.engine.write(values, groups, **more)
             if code == 0 and not path.startswith("/perms/") and not open_:
@@ -160,7 +167,7 @@ class Session:
             return code
         rows = self._matched(rest)
         if not open_:
-            marked = self._owned(self._marked(rows, rules, _mine="modify/me", _any="modify/*", _make="create"), rules)
+            marked = self._owned(self._marked(rows, _mine="modify/me", _any="modify/*", _make="create"))
             rule = F.col("_path").startswith("/perms/")
             fine = F.when(F.col("_path").startswith("/perms/owning/"), F.lit(False)).when(rule, F.col("_make")).otherwise(F.col("_any") | F.col("_own") & F.col("_mine"))
             if not marked.filter(~fine).isEmpty():
@@ -170,11 +177,11 @@ class Session:
             self._own_only(rows.filter(~F.col("_path").startswith("/perms")).select("_path"))
         return code
 
-    def _may_make(self, path: str, values: dict, rules: DataFrame) -> bool:
+    def _may_make(self, path: str, values: dict) -> bool:
         if path.startswith("/perms/owning/"):
             target = path[len("/perms/owning") :]
-            return self.may("own/*", target, rules) or values.get("owner") == self.user and self.may("own/me", target, rules)
-        return self.may("create", path, rules)
+            return self.may("own/*", target) or values.get("owner") == self.user and self.may("own/me", target)
+        return self.may("create", path)
 
     def _own(self, path: str) -> None:
         parts = ["perms", "owning", *[p for p in path.split("/") if p]]
@@ -195,12 +202,11 @@ class Session:
 
     def remove(self, groups: list[Group], burn: bool = False) -> int:
         """0, or DENIED, or -1 if locked."""
-        rules = self._rules()
-        if not rules.isEmpty():
+        if not self._open():
             rows = self._matched(groups)
-            marked = self._owned(self._marked(rows, rules, _mine="unlink/me", _mine2="rm/me", _any="unlink/*", _any2="rm/*"), rules)
+            marked = self._owned(self._marked(rows, _mine="unlink/me", _mine2="rm/me", _any="unlink/*", _any2="rm/*"))
             target = marked.withColumn("_kept", F.col("_path")).withColumn("_path", F.regexp_replace("_path", "^/perms/owning", ""))
-            marked = self._marked(target, rules, _off="disown/me", _offall="disown/*")
+            marked = self._marked(target, _off="disown/me", _offall="disown/*")
             owner = F.col("owner") if "owner" in rows.columns else F.lit(None).cast("string")
             fine = F.when(F.col("_kept").startswith("/perms/owning/") & owner.isNotNull(), F.when(owner == self.user, F.col("_off") | F.col("_offall")).otherwise(F.col("_offall")))
             fine = fine.otherwise(F.col("_any") | F.col("_any2") | ~F.col("_kept").startswith("/perms/") & F.col("_own") & (F.col("_mine") | F.col("_mine2")))
