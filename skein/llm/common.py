@@ -68,6 +68,12 @@ def removed(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def partitions_for(df: DataFrame, each: int) -> int:
+    """As many partitions as Spark is set to, or more, so that none has more than so many bytes by the plan's own estimate (which a scan takes from its files' sizes; an estimate beyond all bounds counts for nothing)."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // each if size < 1 << 60 else 0)
+
+
 def packed_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(_id, _text, _row): the whole row travels in one struct, so that no column name can clash."""
     return df.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))

@@ -26,11 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import id_text, real_id, removed, shared_dir, small_batches, table
+from skein.llm.common import id_text, partitions_for, real_id, removed, shared_dir, small_batches, table
 from skein.llm.tokens import encoder, shared_tokenizer
 
 #: Most bits of a code, tokens between checkpoints, and tokens after which a block ends (with the document).
 LIMIT, STEP, BLOCK = 18, 256, 1 << 18
+#: Bytes of a range of documents, by the files' sizes.
+RANGE = 128 << 20
 BLOCKS = "part int, block int, doc_ids array<long>, doc_tokens array<long>, tokens long, bits binary, checkpoints binary"
 
 
@@ -192,7 +194,7 @@ def write(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
     spark = df.sparkSession
     small_batches(spark)
     spec, source = shared_tokenizer(spark, tokenizer), id_text(df, id_col, text_col)
-    ranged, plain = source.repartitionByRange("_id").sortWithinPartitions("_id"), shared_dir(spark, "ids")
+    ranged, plain = source.repartitionByRange(partitions_for(source, RANGE), "_id").sortWithinPartitions("_id"), shared_dir(spark, "ids")
     ranged.mapInArrow(lambda it: _plain(it, spec), BLOCKS).write.option("compression", "zstd").parquet(plain)
     stored_ids = spark.read.schema(BLOCKS).parquet(plain)
     # one row per id of the vocabulary reaches the driver

@@ -17,11 +17,12 @@ from pyspark.sql import SparkSession
 from skein.llm.common import utf8_buffer
 
 #: Words and pieces that a worker remembers at most; beyond, it forgets them all and starts again.
-WORDS, PIECES = 800_000, 600_000
+WORDS, PIECES = 450_000, 350_000
 END_ID = 1
 
 _TAIL = b".,!?%&*#$|;:"
 _ENCODERS: dict[int, "Encoder"] = {}
+_VERIFIED: set[str] = set()
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -30,15 +31,26 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: Texts on which a tokenizer's ids and those made here are compared before it is used.
+PROBES = ["The QUICK brown-fox, jumped... (over) it's 42,000 dogs!", "  tabs\tand\nlines\r\n  ", "Größe naïve œuvre ÉTÉ \u212b \u0130x", "日本語 テスト 中文。", "a<|endoftext|>b <|startoftext|>", "x_y|z;:*&#$% ##% 1st 2nd", "🙂👍🏽 e\u0301 \u00a0 \u3000 \u200b end", "don't DON'T we'll", ""]
+
+
 def shared_tokenizer(spark: SparkSession, path: str | None = None):
-    """The tokenizer's file, read by the driver and broadcast (under 2 MB), so executors need no local copy."""
+    """The tokenizer's file, read by the driver and broadcast (under 2 MB), so executors need no local copy. A file whose ids for PROBES aren't those of the rules used here is refused."""
     with open(path or tokenizer_path(), encoding="utf-8") as f:
-        return spark.sparkContext.broadcast(f.read())
+        spec = f.read()
+    if spec not in _VERIFIED:
+        made = Encoder(spec)
+        ids, at = made.encode(pa.array(PROBES), None)
+        if any(ids[a:b].tolist() != made.tokenizer.encode(t, add_special_tokens=False).ids for t, a, b in zip(PROBES, at[:-1], at[1:], strict=True)):
+            raise ValueError(f"{path}: not a tokenizer of lower-case words with word ends")
+        _VERIFIED.add(spec)
+    return spark.sparkContext.broadcast(spec)
 
 
 def _letters(text: str) -> bool:
     """Letters only, also as the tokenizer's normalizers leave them (some letters fall into a letter and a mark)."""
-    return unicodedata.normalize("NFC", text).lower().isalpha()
+    return text.isalpha() if text.isascii() else unicodedata.normalize("NFC", text).lower().isalpha()
 
 
 class _Numbered(dict):
@@ -77,7 +89,7 @@ class Encoder:
         parts, counts, line = [], [], []
 
         def flush():
-            ids = np.array(self.tokenizer.encode(" ".join(line), add_special_tokens=False).ids, np.uint32)
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(line)], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(self.word_end[ids]) + 1
             if len(ends) == len(line):
                 parts.append(ids)
@@ -87,7 +99,7 @@ class Encoder:
             line.clear()
 
         def one_by_one(texts):
-            for got in self.tokenizer.encode_batch(texts, add_special_tokens=False):
+            for got in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
                 parts.append(np.array(got.ids, np.uint32))
                 counts.append(len(got.ids))
 
