@@ -70,7 +70,7 @@ def removed(spark: SparkSession, path: str) -> None:
 
 def partitions_for(df: DataFrame, each: int) -> int:
     """As many partitions as Spark is set to, or more, so that none has more than so many bytes by the plan's own estimate (which a scan takes from its files' sizes; an estimate beyond all bounds counts for nothing)."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // each if size < 1 << 60 else 0)
 
 
