@@ -1,14 +1,17 @@
 """Jaccard self-join of documents on word n-gram sets, by T-occurrence search (DivideSkip).
 
-Possible partners are brought together by prefixes: in any order of all n-grams, two sets with similarity of at least t
-share one among the first n - ceil(t n) + 1 of each. The order is by rarity, so prefixes hold what few documents have.
+Possible partners are brought together by prefixes of parts. A set's n-grams fall by hash into more parts than twice what
+two linked sets of its size class can differ in; each n-gram in one set only spoils one part at most, so linked sets agree
+wholly in a known number of parts, and in any order of all parts share one among the first few of each. The order is by
+strength: how many n-grams a part has and how rare they are. Two other sets hardly ever agree in all of a strong part, also
+when single n-grams are no longer known to be rare. Below t = 0.75 the parts are single n-grams, n - ceil(t n) + 1 of them.
 
 0. Rarity. Chunks of documents send the hashes of COUNTED of their n-grams (each at most twice a chunk, sorted, as packed
    differences) to buckets by hash; there they are counted. What reaches the driver and is broadcast is a table of CELLS
    bytes, for each range of hashes the logarithm of the largest count in it; 0 means that no n-gram of the range is in two
-   documents. Its size is fixed: with more n-grams a prefix tells less, and the results stay the same.
-1. Signatures. An n-gram of a document's prefix, with the document's size class or the next, is a key; n-grams that no other
-   document has are left out. Chunks collapse equal sets to the smallest id and equal keys to one entry, so that a group of
+   documents. Its size is fixed: with more n-grams it tells less, and the results stay the same.
+1. Signatures. A part of a document's prefix, with the document's size class or the next, is a key; parts with an n-gram that
+   no other document has are left out. Chunks collapse equal sets to the smallest id and equal keys to one entry, so that a group of
    copies or near copies of any size sends one entry a key and chunk. Keys are dealt out as packed blocks; of each key the
    entries form a star. The stars' components are coarse groups: no pair above t spans two of them.
 2. Search. In each coarse group an inverted index is built and every document is a query: the required overlap T follows
@@ -46,6 +49,8 @@ from skein.llm.components import _forest, components
 CHUNK_BYTES, POSTINGS = 12 << 20, 2_000_000
 #: Ranges of hashes whose n-grams are counted, as a power of two; bits of a hash that are counted by; the share of hashes that is.
 CELLS, BITS, COUNTED = 24, 40, 0.5
+#: Parts of a set at least; the strength of a part that only one document can have; a threshold t has parts if PARTED (1 - t) <= 1.
+PARTS, UNIQUE, PARTED = 16, 0xFFFF, 4
 #: N-grams that are worked on at once.
 GRAMS = 1 << 17
 #: DivideSkip's weight of a probe against a merge step.
@@ -67,21 +72,50 @@ def _mixed(flat: np.ndarray) -> np.ndarray:
 
 
 def prefix_keys(flat: np.ndarray, at: np.ndarray, num: int, den: int, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, document) of the sets' prefixes at their own and the next size class; n-grams of one document only are left out."""
+    """(keys, document) of the sets' prefixes at their own and the next size class; what no other document can have is left out."""
     size = np.diff(at)
     doc = np.repeat(np.arange(len(size)), size)
     mixed = _mixed(flat)
-    # n-grams that aren't counted come last
-    rarity = np.where(_counted(mixed), cells[mixed >> _U(64 - CELLS)], np.uint8(255))
-    order = np.lexsort((rarity.astype(np.uint64) << _U(56) | mixed >> _U(8), doc))
-    place = np.arange(len(flat)) - np.repeat(at[:-1], size)
-    use = order[(place < (size + 1 + -num * size // den)[doc]) & (rarity[order] > 0)]
-    doc, mixed = doc[use], mixed[use]
+    counted = _counted(mixed)
+    times = cells[mixed >> _U(64 - CELLS)]
     bounds = level_bounds(int(size.max(initial=1)), num, den)
-    level = (np.searchsorted(bounds, size, "right") - 1)[doc].astype(np.uint64)
+    level = np.searchsorted(bounds, size, "right") - 1
+    keys, owner = [], []
+    if PARTED * (den - num) > den:
+        # n-grams that aren't counted come last
+        rarity = np.where(counted, times, np.uint8(255))
+        order = np.lexsort((rarity.astype(np.uint64) << _U(56) | mixed >> _U(8), doc))
+        place = np.arange(len(flat)) - np.repeat(at[:-1], size)
+        use = order[(place < (size + 1 + -num * size // den)[doc]) & (rarity[order] > 0)]
+        for up in (0, 1):
+            keys.append(_key(mixed[use], 0, (level + up)[doc[use]]))
+            owner.append(doc[use])
+        return np.concatenate(keys), np.concatenate(owner)
+    weight = np.where(counted, np.where(times > 0, np.maximum(1, CELLS - times.astype(np.int64)), UNIQUE), CELLS // 2).astype(np.float64)
+    spread = mixed >> _U(16) & _U(0xFFFFFFFF)
+    for up in (0, 1):
+        top = bounds[level + up + 1] - 1
+        parts = np.maximum(PARTS, 2 * (2 * top * (den - num) // (den + num) + 1))
+        taken = (size + np.minimum(top, size * den // num)) * (den - num) // (den + num) + 1
+        begin = np.concatenate([[0], np.cumsum(parts)])
+        slot = begin[doc] + (spread * parts[doc].astype(np.uint64) >> _U(32)).astype(np.int64)
+        held = np.zeros(begin[-1], np.uint64)
+        with np.errstate(over="ignore"):
+            np.add.at(held, slot, mixed)
+        strength = np.minimum(np.bincount(slot, weight, begin[-1]), UNIQUE).astype(np.uint64)
+        of = np.repeat(np.arange(len(size)), parts)
+        place = np.arange(begin[-1]) - begin[of]
+        key = _key(held, place, (level + up)[of])
+        order = np.lexsort(((_U(UNIQUE) - strength) << _U(48) | key >> _U(16), of))
+        use = order[(place < taken[of]) & (strength[order] < UNIQUE)]
+        keys.append(key[use])
+        owner.append(of[use])
+    return np.concatenate(keys), np.concatenate(owner)
+
+
+def _key(held: np.ndarray, part, level: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        keys = [mix64(mixed + (level + _U(up)) * _U(0x9E3779B97F4A7C15)) for up in (0, 1)]
-    return np.concatenate(keys), np.concatenate([doc, doc])
+        return mix64(held + np.asarray(part).astype(np.uint64) * _U(0xD6E8FEB86659FD93) + level.astype(np.uint64) * _U(0x9E3779B97F4A7C15))
 
 
 def _counted(mixed: np.ndarray) -> np.ndarray:

@@ -6,6 +6,7 @@ import pytest
 
 from skein.llm import jaccard_join as J
 from skein.llm.common import table
+from skein.llm.components import forest
 
 
 def grams(text, width):
@@ -103,6 +104,26 @@ def test_search_finds_all_at_the_bound(num):
     assert links >= 3 * 6
 
 
+@pytest.mark.parametrize("num", [50, 75, 80, 90])
+def test_prefixes_share_a_key_at_the_bound(num):
+    sets = at_the_bound(random.Random(num + 1), num, 100) + [np.arange(a, a + n, dtype=np.uint64) for n in range(1, 30) for a in (0, 1)]
+    keys, doc = J.prefix_keys(np.concatenate(sets), np.cumsum([0] + [len(s) for s in sets]), num, 100, np.full(1 << J.CELLS, 3, np.uint8))
+    plain, of = [set(s.tolist()) for s in sets], [set(keys[doc == d].tolist()) for d in range(len(sets))]
+    for q, a in enumerate(plain):
+        assert all(of[q] & of[d] for d, b in enumerate(plain) if 100 * len(a & b) >= num * len(a | b))
+
+
+@pytest.mark.parametrize("num", [80, 90])
+def test_prefixes_of_unlike_sets_stay_apart_when_nothing_is_known_as_rare(num):
+    """As in tables so large that every range of hashes has n-grams of several documents: chance must not make one group of all."""
+    rng = random.Random(num)
+    sets = [np.array(sorted(rng.sample(range(20_000), 300)), np.uint64) for _ in range(400)]
+    keys, doc = J.prefix_keys(np.concatenate(sets), np.cumsum([0] + [len(s) for s in sets]), num, 100, np.full(1 << J.CELLS, 3, np.uint8))
+    assert len(set(doc.tolist())) == 400
+    u, v = J._stars(keys, doc.astype(np.int64))[2].T
+    assert np.unique(forest(u, v)[1], return_counts=True)[1].max(initial=0) < 40
+
+
 def test_merge_counts_every_list():
     rng = random.Random(5)
     for _ in range(300):
