@@ -230,17 +230,15 @@ def radix_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     row = [T.StructField("_row", source.schema["_row"].dataType)] if rows else []
     local = T.StructType([T.StructField("length", T.LongType()), T.StructField("digit", T.BinaryType()), T.StructField("text", T.BinaryType()), T.StructField("members", T.ArrayType(T.LongType())), *row])
     ended = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("members", T.ArrayType(T.LongType())), T.StructField("keep_id", T.LongType()), T.StructField("group_size", T.LongType()), T.StructField("sha", T.StringType()), T.StructField("keeper", T.BooleanType()), T.StructField("gid", T.StringType()), *local.fields[:3], *row])
-    if rows:
-        # with no run over the limit, nothing is streamed or dealt out again, and the rows need not be stored on the way
-        size = F.octet_length("_text").cast("long")
-        most = source.groupBy(size.alias("n"), F.substring(F.col("_text").cast("binary"), 1, DIGIT).alias("d")).agg(F.sum(size + 64).alias("s")).agg(F.max("s").alias("s")).first()["s"]
-        if (most or 0) <= RUN_BYTES:
-            work = source.select("_id", "_text", "_row").mapInArrow(lambda it: _combine(it, True), local)
-            dealt = work.repartition("length", "digit").sortWithinPartitions("length", "digit")
-            return dealt.mapInArrow(lambda it: _settle(it, 0, True), ended).select("members", "keep_id", "group_size", "sha", "keeper", "_row")
-    level, path = 0, shared_dir(spark, "radix")
+    names = ["members", "keep_id", "group_size", "sha", "keeper", *[f.name for f in row]]
     work = source.select("_id", "_text", *[f.name for f in row]).mapInArrow(lambda it: _combine(it, rows), local)
-    parts = []
+    # with no run over the limit, nothing is streamed or dealt out again, and the rows need not be stored on the way
+    size = F.octet_length("_text").cast("long")
+    most = source.groupBy(size.alias("n"), F.substring(F.col("_text").cast("binary"), 1, DIGIT).alias("d")).agg(F.sum(size + 64).alias("s")).agg(F.max("s").alias("s")).first()["s"]
+    if (most or 0) <= RUN_BYTES:
+        dealt = work.repartition("length", "digit").sortWithinPartitions("length", "digit")
+        return dealt.mapInArrow(lambda it: _settle(it, 0, rows), ended).select(*names)
+    level, path, parts = 0, shared_dir(spark, "radix"), []
     while True:
         dealt = work.repartition("length", "digit").sortWithinPartitions("length", "digit")
         settled = dealt.mapInArrow(lambda it, level=level: _settle(it, level, rows), ended)
@@ -254,7 +252,6 @@ def radix_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
-    names = ["members", "keep_id", "group_size", "sha", "keeper", *[f.name for f in row]]
     out = every.filter(F.col("kind") == SETTLED).select(*names)
     streamed = every.filter(F.col("kind") == PENDING)
     if not streamed.isEmpty():

@@ -47,6 +47,14 @@ def test_exact_dedup(spark, sf, odd_docs, no_docs, monkeypatch):
     assert sorted(r.doc_id or 0 for r in exact_dedup.distinct_rows(odd_docs).collect()) == [0, 2, 4, 6, 7, 8, 9]
 
 
+def test_exact_dedup_without_large_runs_stores_nothing_on_the_way(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(exact_dedup, "shared_dir", lambda s, label, f=exact_dedup.shared_dir: made.append(label) or f(s, label))
+    df = spark.createDataFrame([(k, f"text {k % 7}") for k in range(50)], "doc_id long, text string")
+    got = {(r.doc_id, r.keep_id, r.kept) for r in exact_dedup.decisions(df).collect()}
+    assert got == {(k, max(range(k % 7, 50, 7)), k + 7 >= 50) for k in range(50)} and not made
+
+
 def test_exact_dedup_of_large_runs(spark, monkeypatch):
     """Runs over the limit are streamed or dealt out by further digits; results stay those of a plain grouping."""
     import random
