@@ -1,7 +1,7 @@
 """Token ids in a binary format: canonical length-limited Huffman codes in independent blocks with bit-offset checkpoints.
 
 Writing deals the texts out in ranges of ascending doc_id, tokenizes them there and stores plain blocks of ids in the
-shared folder. All ids are counted, in one grouped sum with partial sums where the rows lie, and from the counts
+shared folder. All ids are counted as they are made, in one row a range, and summed by id; from the counts
 package-merge gives code lengths of at most LIMIT bits. Each plain block then becomes a coded one, with its documents' ids
 and token counts, its bits, and the bit offset of every STEP-th token. The lengths and the tokens of each range (one number
 a range) make the manifest.
@@ -34,6 +34,7 @@ LIMIT, STEP, BLOCK = 18, 256, 1 << 18
 #: Bytes of a range of documents, by the files' sizes.
 RANGE = 128 << 20
 BLOCKS = "part int, block int, doc_ids array<long>, doc_tokens array<long>, tokens long, bits binary, checkpoints binary"
+PLAIN = BLOCKS + ", seen binary"
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -120,15 +121,19 @@ def decode_block(bits: bytes, checkpoints: bytes, tokens: int, tables: tuple[int
 
 
 def _plain(batches: Iterator[pa.RecordBatch], spec) -> Iterator[pa.RecordBatch]:
-    """Blocks of ids, in 16 bits each where all fit."""
+    """Blocks of ids, in 16 bits each where all fit; at last a row without a block, with the ids of all and how often each was there."""
     part, block = TaskContext.get().partitionId(), 0
+    total = np.zeros(1 << 16, np.int64)
     docs, counts, held, size = [], [], [], 0
 
     def close():
+        nonlocal total
         ids = np.concatenate(held)
+        got = np.bincount(ids, minlength=len(total))
+        total = np.concatenate([total, np.zeros(len(got) - len(total), np.int64)]) + got
         wide = ids.max(initial=0) >= 1 << 16
         row = [[part], [block], [docs], [counts], [size], [ids.astype("<u4" if wide else "<u2").tobytes()], [bytes([4 if wide else 2])]]
-        return _block(row)
+        return _with_seen(_block(row), b"")
 
     for b in batches:
         ids, at = encoder(spec).encode(b["_text"])
@@ -145,6 +150,12 @@ def _plain(batches: Iterator[pa.RecordBatch], spec) -> Iterator[pa.RecordBatch]:
             held.append(ids[at[begin] :])
     if docs:
         yield close()
+    used = np.flatnonzero(total)
+    yield _with_seen(_block([[part], [-1], [[]], [[]], [0], [b""], [b""]]), np.concatenate([used, total[used]]).astype("<i8").tobytes())
+
+
+def _with_seen(block: pa.RecordBatch, seen: bytes) -> pa.RecordBatch:
+    return pa.record_batch([*block.columns, pa.array([seen], pa.binary())], [*block.schema.names, "seen"])
 
 
 def _block(row: list) -> pa.RecordBatch:
@@ -159,9 +170,10 @@ def _ids_of(bits: bytes, mark: bytes) -> np.ndarray:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << 16, np.int64)
     for b in batches:
-        for bits, mark in zip(b["bits"].to_pylist(), b["checkpoints"].to_pylist(), strict=True):
-            got = np.bincount(_ids_of(bits, mark), minlength=len(total))
-            total = np.concatenate([total, np.zeros(len(got) - len(total), np.int64)]) + got
+        for seen in b["seen"].to_pylist():
+            ids, n = np.frombuffer(seen, "<i8").reshape(2, -1)
+            total = np.concatenate([total, np.zeros(max(0, ids.max(initial=0) + 1 - len(total)), np.int64)])
+            total[ids] += n
     used = np.flatnonzero(total)
     yield pa.record_batch([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
 
@@ -177,15 +189,15 @@ def _code(batches: Iterator[pa.RecordBatch], lengths: np.ndarray) -> Iterator[pa
 def _read(batches: Iterator[pa.RecordBatch], lengths: np.ndarray) -> Iterator[pa.RecordBatch]:
     tables = decode_table(lengths)
     for b in batches:
-        for part, block, docs, counts, n, bits, checkpoints in zip(*[b[c].to_pylist() for c in ("part", "block", "doc_ids", "doc_tokens", "tokens", "bits", "checkpoints")], strict=True):
+        for begin, docs, counts, n, bits, checkpoints in zip(*[b[c].to_pylist() for c in ("begin", "doc_ids", "doc_tokens", "tokens", "bits", "checkpoints")], strict=True):
             ids = decode_block(bits, checkpoints, n, tables).astype("<u4")
             ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
             for k in range(0, len(docs), 500):
                 part_ids = [ids[a:e].tobytes() for a, e in zip(ends[k : k + 500], ends[k + 1 : k + 501], strict=False)]
                 m = len(part_ids)
                 yield pa.record_batch(
-                    [pa.array([part] * m, pa.int32()), pa.array([block] * m, pa.int32()), pa.array(docs[k : k + m], pa.int64()), pa.array(ends[k : k + m], pa.int64()), pa.array(counts[k : k + m], pa.int64()), pa.array(part_ids, pa.binary())],
-                    ["part", "block", "doc_id", "in_block", "n_tokens", "ids"],
+                    [pa.array(docs[k : k + m], pa.int64()), pa.array(begin + ends[k : k + m], pa.int64()), pa.array(counts[k : k + m], pa.int64()), pa.array(part_ids, pa.binary())],
+                    ["doc_id", "start", "n_tokens", "ids"],
                 )
 
 
@@ -195,15 +207,15 @@ def write(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
     small_batches(spark)
     spec, source = shared_tokenizer(spark, tokenizer), id_text(df, id_col, text_col)
     ranged, plain = source.repartitionByRange(partitions_for(source, RANGE), "_id").sortWithinPartitions("_id"), shared_dir(spark, "ids")
-    ranged.mapInArrow(lambda it: _plain(it, spec), BLOCKS).write.option("compression", "zstd").parquet(plain)
-    stored_ids = spark.read.schema(BLOCKS).parquet(plain)
+    ranged.mapInArrow(lambda it: _plain(it, spec), PLAIN).write.option("compression", "zstd").parquet(plain)
+    stored_ids = spark.read.schema(PLAIN).parquet(plain)
     # one row per id of the vocabulary reaches the driver
-    seen = stored_ids.select("bits", "checkpoints").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    seen = stored_ids.select("seen").filter("length(seen) > 0").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max([r["id"] for r in seen], default=0) + 1, np.int64)
     for r in seen:
         counts[r["id"]] = r["n"]
     lengths = code_lengths(counts)
-    stored_ids.mapInArrow(lambda it: _code(it, lengths), BLOCKS).write.parquet(f"{path}/blocks")
+    stored_ids.filter("block >= 0").drop("seen").mapInArrow(lambda it: _code(it, lengths), BLOCKS).write.parquet(f"{path}/blocks")
     removed(spark, plain)
     # a number for each block's tokens, summed by range: one row per range reaches the driver
     sums = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").groupBy("part").agg(F.sum("tokens").alias("n")).collect()
@@ -220,14 +232,15 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     manifest = json.loads(spark.read.parquet(f"{path}/manifest").first()["manifest"])
     lengths = np.array(manifest["lengths"], np.uint8)
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
-    docs = blocks.mapInArrow(lambda it: _read(it, lengths), "part int, block int, doc_id long, in_block long, n_tokens long, ids binary")
     # where each block begins: tokens of the ranges before it (manifest) and of the blocks before it in its range
     from pyspark.sql import Window
 
     bases = spark.createDataFrame(manifest["bases"] or [[-1, 0]], "part int, base long")
     before = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     begins = blocks.select("part", "block", "tokens").withColumn("b", F.coalesce(F.sum("tokens").over(before), F.lit(0))).join(F.broadcast(bases), "part").select("part", "block", (F.col("b") + F.col("base")).alias("begin"))
-    return docs.join(begins, ["part", "block"]).select(real_id("doc_id").alias("doc_id"), (F.col("begin") + F.col("in_block")).alias("start"), "n_tokens", "ids")
+    # the coded blocks move, not the ids
+    docs = blocks.join(begins, ["part", "block"]).mapInArrow(lambda it: _read(it, lengths), "doc_id long, start long, n_tokens long, ids binary")
+    return docs.withColumn("doc_id", real_id("doc_id"))
 
 
 def op5_token_file(spark, sf_dir: str) -> DataFrame:

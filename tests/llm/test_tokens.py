@@ -134,3 +134,16 @@ def test_level_is_the_least_sum_of_squares(sizes):
     assert sum(packer.levels[h] for h in range(1, 32)) == sum(map(len, packer.open))
     left = list(packer.finish())
     assert all((f := sum(len(p[2]) for p in w)) == 32 or f & (f - 1) == 0 for w in left)
+
+
+def test_reading_moves_coded_blocks_and_counting_reads_no_ids(spark, sf, tmp_path, monkeypatch):
+    read = []
+    monkeypatch.setattr(huffman, "_count", lambda batches, f=huffman._count: f(b for b in batches if b.schema.names == ["seen"]))
+    monkeypatch.setattr(huffman, "code_lengths", lambda counts, f=huffman.code_lengths: read.append(counts) or f(counts))
+    path = f"file://{tmp_path}/c"
+    huffman.write(table(spark, sf, "documents"), path)
+    got = huffman.read(spark, path)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Join")  # what stands above comes first
+    ids = np.concatenate([np.frombuffer(r.ids, "<u4") for r in got.select("ids").collect()])
+    assert (np.bincount(ids, minlength=len(read[0])) == read[0]).all()
